@@ -49,7 +49,7 @@ def _range_functions(part: DataFrame) -> DataFrame:
     Read from the right: entering a patch at its base gives what the rest of the range makes of its new version.
     """
 
-    def compose(run: pa.Table) -> pa.Table:
+    def compose(run):
         out = {}
         run = run.sort_by("seq").select(["base", "new"]).to_pydict()
         for base, new in zip(reversed(run["base"]), reversed(run["new"]), strict=True):
@@ -57,7 +57,7 @@ def _range_functions(part: DataFrame) -> DataFrame:
                 out[base] = out.get(new, new)
         return pa.table({"v_in": pa.array(out.keys(), pa.int64()), "v_out": pa.array(out.values(), pa.int64())})
 
-    def keyed(key, run: pa.Table) -> pa.Table:
+    def keyed(key, run):
         out = compose(run)
         names = pa.array([key[0].as_py()] * len(out), pa.string()), pa.array([key[1].as_py()] * len(out), pa.int64())
         return out.add_column(0, "node", names[1]).add_column(0, "store_id", names[0])
