@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import encoding
+from eventloom.llm import encoding, leakage
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("EVENTLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -18,5 +18,11 @@ def p6_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> Da
     return encoding.encode_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks)
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold 12 words in a row of a held-out test item."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return leakage.leaked_items(documents, spark.read.parquet(f"{sf_dir}/eval_items.parquet")).select("doc_id", "item_id")
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found}
 SQL: dict[str, str] = {}
