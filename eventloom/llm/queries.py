@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import encoding, leakage
+from eventloom.llm import encoding, leakage, reading_level
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("EVENTLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -24,5 +24,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(documents, spark.read.parquet(f"{sf_dir}/eval_items.parquet")).select("doc_id", "item_id")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document with at least 40 words."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return reading_level.reading_levels(documents, spark.read.parquet(f"{sf_dir}/reading_labels.parquet"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
