@@ -6,12 +6,22 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import encoding, leakage, reading_level
+from eventloom.llm import encoding, leakage, near_duplicates, reading_level
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("EVENTLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of memory items that state the same with small changes."""
+    return near_duplicates.similar_pairs(spark.read.parquet(f"{sf_dir}/memory_items.parquet"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every memory item that has a near-duplicate."""
+    return near_duplicates.similar_groups(spark.read.parquet(f"{sf_dir}/memory_items.parquet"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     ranks = encoding.rank_file(f"{tokenizers}/byte_bpe_50k.tiktoken")
@@ -30,5 +40,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.reading_levels(documents, spark.read.parquet(f"{sf_dir}/reading_labels.parquet"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+}
 SQL: dict[str, str] = {}
