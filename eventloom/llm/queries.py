@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import encoding, leakage, near_duplicates, reading_level
+from eventloom.llm import conversations, encoding, leakage, near_duplicates, reading_level
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("EVENTLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -22,6 +22,11 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.similar_groups(spark.read.parquet(f"{sf_dir}/memory_items.parquet"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of every sound conversation in order, with their roles."""
+    return conversations.conversations(spark.read.parquet(f"{sf_dir}/session_events.parquet"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     ranks = encoding.rank_file(f"{tokenizers}/byte_bpe_50k.tiktoken")
@@ -43,6 +48,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
