@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,36 +35,52 @@ FUNCTION_WORDS = {
 }
 _END = "."
 
-#: Fenced code, log lines, inline code, and tokens that are paths, identifiers, numbers or markup.
-_NOT_PROSE = (
-    r"(?s:```.*?```)|(?m:^[ \t]*\[?\d{2}:\d{2}:\d{2}[^\n]*)|`[^`\n]*`"
-    r"|[^\s_/\\@=<>{}\d]*(?:[_/\\@=<>{}\d]|(?<=\p{Ll})(?=\p{Lu}))\S*?(?=[.!?]?(?:\s|\z))"
-)
+#: Fenced code and log lines are no prose, nor are tokens that are paths, identifiers, numbers or markup.
+_NOT_PROSE = r"(?s:```.*?```)|(?m:^[ \t]*\[?\d{2}:\d{2}:\d{2}[^\n]*)"
+_IDENTIFIER = re.compile(r"[_/\\@=<>{}\d`]|[a-zß-öø-ÿ][A-ZÀ-ÖØ-Þ]")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def prose_tokens(text: Column) -> Column:
-    """The lower-case words of the prose of a text, and a mark for each end of a sentence."""
-    prose = F.lower(F.regexp_replace(text, _NOT_PROSE, " "))
-    return F.regexp_extract_all(prose, F.lit(r"[\p{L}\p{N}]+|[.!?](?=\s|\z)"), F.lit(0))
+def prose_chunks(text: Column) -> Column:
+    """The prose of a text, split at white space."""
+    return F.split(F.regexp_replace(text, _NOT_PROSE, " "), r"\s+")
+
+
+def chunk_words(chunk: str) -> list[str]:
+    """The lower-case words of a chunk, and a mark if it ends a sentence; an identifier has no words."""
+    words = [] if _IDENTIFIER.search(chunk) else _WORD.findall(chunk.lower())
+    return [*words, _END] if chunk[-1:] in (".", "!", "?") else words
+
+
+def _gathered(values: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that begin at ``first`` (with one end more), for each of ``at``, and their sizes."""
+    sizes = (first[1:] - first[:-1])[at]
+    ends = np.cumsum(sizes)
+    return values[np.repeat(first[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens as buckets, the language, and the level that the sentence length alone suggests."""
+    """Words as buckets, the language, and the level that the sentence length alone suggests.
+
+    The words of a chunk are found once for each different chunk of a batch."""
     names = list(FUNCTION_WORDS)
     for batch in batches:
-        tokens = batch.column("tokens")
-        flat = tokens.flatten().dictionary_encode()
-        known = flat.dictionary.to_numpy(zero_copy_only=False).astype(object)
-        known[[x in ("!", "?") for x in known]] = _END
-        bucket = (pd.util.hash_array(known, categorize=False) % np.uint64(BUCKETS)).astype(np.int32)
-        at = flat.indices.to_numpy()
-        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        row, n = np.repeat(np.arange(len(batch)), lengths), len(batch)
+        chunks, n = batch.column("chunks"), len(batch)
+        coded = chunks.flatten().dictionary_encode()
+        lists = [chunk_words(x) for x in coded.dictionary.to_pylist()]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        words = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).astype(object)
+        at, sizes = _gathered(words.indices.to_numpy(), first, coded.indices.to_numpy())
+        chunk_ends = np.cumsum(pc.fill_null(pc.list_value_length(chunks), 0).to_numpy(zero_copy_only=False))
+        offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[chunk_ends]]).astype(np.int32)
+        lengths = np.diff(offsets)
+        row = np.repeat(np.arange(n), lengths)
         hits = np.stack([np.bincount(row, np.isin(known, FUNCTION_WORDS[x])[at] if len(at) else None, n) for x in names])
         language = np.where(hits.max(0) > 0, hits.argmax(0), len(names) - 1).astype(np.int32)
         ends = np.bincount(row, (known == _END)[at] if len(at) else None, n)
         formula = 1 + np.searchsorted(FORMULA, (lengths - ends) / np.maximum(ends, 1), "right").astype(np.int32)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        bucket = (pd.util.hash_array(known, categorize=False) % np.uint64(BUCKETS)).astype(np.int32)
         codes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket[at]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(language), pa.array(formula), codes], ["doc_id", "language", "formula", "codes"]
@@ -131,7 +148,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     enough = F.regexp_count(F.col("text"), F.lit(r"[\p{L}\p{N}]+")) >= LEAST_WORDS
     read = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(enough)
     coded = written(
-        read.select(F.col("doc_id").cast("bigint").alias("doc_id"), prose_tokens(F.col("text")).alias("tokens")).mapInArrow(
+        read.select(F.col("doc_id").cast("bigint").alias("doc_id"), prose_chunks(F.col("text")).alias("chunks")).mapInArrow(
             _coded, "doc_id bigint, language int, formula int, codes array<int>"
         ),
         "reading-codes",
