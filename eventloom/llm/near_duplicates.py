@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,14 +95,16 @@ def _pairs_in(part: pa.Table) -> pa.Table:
 
 
 def _sets(items: DataFrame) -> DataFrame:
-    """A written table of the items that can have a match: ``node, id, category, words, h1, h2``."""
+    """A written table of the items that can have a match: ``node, id, category, words, key``.
+
+    ``words`` are the different words in order, joined by blanks, which no word has.
+    """
     words = items.where(F.col("id").isNotNull() & F.col("category").isNotNull() & F.col("text").isNotNull()).select(
         "id", "category", F.array_sort(F.array_distinct(lower_words(F.col("text")))).alias("words")
     )
-    keyed = words.where(F.size("words") >= LEAST_WORDS).select(
-        "*", F.xxhash64("category", "words").alias("h1"), F.xxhash64("words", F.lit(1), "category").alias("h2")
-    )
-    kind = "node bigint, id string, category string, words array<string>, h1 bigint, h2 bigint"
+    packed = words.where(F.size("words") >= LEAST_WORDS).select("id", "category", F.array_join("words", " ").alias("words"))
+    keyed = packed.select("*", F.xxhash64("category", "words").alias("key"))
+    kind = "node bigint, id string, category string, words string, key bigint"
     return written(keyed.mapInArrow(_numbered, kind), "item-sets")
 
 
@@ -110,7 +113,7 @@ def _candidates(sets: DataFrame, parts: int, rows: int, bands: int) -> DataFrame
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, offsets = word_hashes(batch.column("words"))
+            hashes, offsets = word_hashes(pc.split_pattern(batch.column("words"), " "))
             seeds = pd.util.hash_array(batch.column("category").to_numpy(zero_copy_only=False).astype(object))
             signature = signatures(hashes, offsets, rows * bands)
             nodes = batch.column("node").to_numpy()
@@ -136,23 +139,24 @@ def similar_classes(items: DataFrame, similarity: float = SIMILARITY, rows: int
     """``(pairs, copies)``: the similar pairs ``(a, b, id_a, id_b)`` between representatives of equal word sets, and the
     copies ``(rep, rep_id, id)`` of each representative."""
     sets = _sets(items)
-    keys = sets.select("h1", "h2", "node", "id")
-    many = keys.groupBy("h1", "h2").agg(F.min(F.struct("node", "id")).alias("r"), F.count("*").alias("n")).where("n > 1")
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    shared = cut(sets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    alike = sets.join(small(shared, shared.count()), "key").select("key", "category", "words", "node", "id")
+    # A key may be shared by chance; equal classes have the same category and words.
+    alike = written(alike, "item-copies")
+    first = alike.groupBy("key", "category", "words").agg(F.min(F.struct("node", "id")).alias("r"))
     copies = cut(
-        keys.join(many, ["h1", "h2"]).where("node <> r.node").select(F.col("r.node").alias("rep"), F.col("r.id").alias("rep_id"), "node", "id")
+        alike.join(first, ["key", "category", "words"]).where("node <> r.node").select(F.col("r.node").alias("rep"), F.col("r.id").alias("rep_id"), "node", "id")
     )
-    dropped = copies.select("node")
-    few = copies.count() <= BROADCAST_ROWS
-    single = sets.join(F.broadcast(dropped) if few else dropped, "node", "left_anti")
+    single = sets.join(small(copies.select("node"), copies.count()), "node", "left_anti")
     parts = -(-sets.count() // PART_ITEMS) or 1
-    # The sets are joined twice on the same key, so that their exchange is used twice.
-    pairs = (
-        _candidates(single, parts, rows, bands)
-        .join(sets.select(F.col("node").alias("a"), F.col("id").alias("id_a"), F.col("words").alias("words_a"), F.col("category").alias("c_a")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("id").alias("id_b"), F.col("words").alias("words_b"), F.col("category").alias("c_b")), "b")
-    )
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    exact = (F.col("c_a") == F.col("c_b")) & (both >= F.lit(similarity) * (F.size("words_a") + F.size("words_b") - both) - 1e-9)
+    # The same columns are joined on the same key twice, so that one exchange serves both.
+    known = sets.select("node", "id", "category", "words")
+    pairs = _candidates(single, parts, rows, bands).withColumnRenamed("a", "node").join(known, "node")
+    pairs = pairs.select(F.col("node").alias("a"), F.col("b").alias("node"), F.struct("id", "category", "words").alias("x")).join(known, "node")
+    pairs = pairs.select("a", F.col("node").alias("b"), F.col("x.id").alias("id_a"), F.col("id").alias("id_b"), "x", "category", F.split("x.words", " ").alias("v"), F.split("words", " ").alias("w"))
+    both = F.size(F.array_intersect("v", "w"))
+    exact = (F.col("x.category") == F.col("category")) & (both >= F.lit(similarity) * (F.size("v") + F.size("w") - both) - 1e-9)
     return pairs.where(exact).select("a", "b", "id_a", "id_b"), copies.select("rep", "rep_id", "id")
 
 
