@@ -6,12 +6,22 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import conversations, encoding, leakage, near_duplicates, reading_level
+from eventloom.llm import conversations, encoding, leakage, near_duplicates, personal_info, reading_level
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("EVENTLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of personal data in the free text of the event feed."""
+    return personal_info.personal_info(spark.read.parquet(f"{sf_dir}/session_events.parquet"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The free text of every delivered event with placeholders for personal data."""
+    return personal_info.redacted(spark.read.parquet(f"{sf_dir}/session_events.parquet"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of memory items that state the same with small changes."""
     return near_duplicates.similar_pairs(spark.read.parquet(f"{sf_dir}/memory_items.parquet"))
@@ -46,6 +56,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p5_found": p5_found,
