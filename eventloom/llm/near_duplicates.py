@@ -25,6 +25,8 @@ BANDS = 56
 PART_ITEMS = 200_000
 #: Items of one block of signatures, so that a place in it takes two bytes.
 BLOCK = 1 << 16
+#: How far the similarity of marks may lie below that of words.
+MARK_SLACK = 0.1
 #: Copies (16 bytes each) up to which their list may be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -95,16 +97,18 @@ def _pairs_in(part: pa.Table) -> pa.Table:
 
 
 def _sets(items: DataFrame) -> DataFrame:
-    """A written table of the items that can have a match: ``node, id, category, words, key``.
+    """A written table of the items that can have a match: ``node, id, category, words, marks, key``.
 
-    ``words`` are the different words in order, joined by blanks, which no word has.
+    ``words`` are the different words in order, joined by blanks, which no word has; ``marks`` are their hashes in two
+    bytes each.
     """
     words = items.where(F.col("id").isNotNull() & F.col("category").isNotNull() & F.col("text").isNotNull()).select(
         "id", "category", F.array_sort(F.array_distinct(lower_words(F.col("text")))).alias("words")
     )
-    packed = words.where(F.size("words") >= LEAST_WORDS).select("id", "category", F.array_join("words", " ").alias("words"))
+    marks = F.array_distinct(F.transform("words", lambda w: F.shiftright(F.xxhash64(w), 48).cast("smallint")))
+    packed = words.where(F.size("words") >= LEAST_WORDS).select("id", "category", F.array_join("words", " ").alias("words"), marks.alias("marks"))
     keyed = packed.select("*", F.xxhash64("category", "words").alias("key"))
-    kind = "node bigint, id string, category string, words string, key bigint"
+    kind = "node bigint, id string, category string, words string, marks array<smallint>, key bigint"
     return written(keyed.mapInArrow(_numbered, kind), "item-sets")
 
 
@@ -150,13 +154,22 @@ def similar_classes(items: DataFrame, similarity: float = SIMILARITY, rows: int
     )
     single = sets.join(small(copies.select("node"), copies.count()), "node", "left_anti")
     parts = -(-sets.count() // PART_ITEMS) or 1
-    # The same columns are joined on the same key twice, so that one exchange serves both.
-    known = sets.select("node", "id", "category", "words")
-    pairs = _candidates(single, parts, rows, bands).withColumnRenamed("a", "node").join(known, "node")
+    # The same columns are joined on the same key twice, so that one exchange serves both. The short marks go first: two
+    # words that share a mark change the similarity by a few hundredths, so what is far below the threshold can go.
+    likeness = lambda both, n: both >= F.lit(similarity) * (n - both) - 1e-9
+    marks = sets.select("node", "marks")
+    rough = _candidates(single, parts, rows, bands).withColumnRenamed("a", "node").join(marks, "node")
+    rough = rough.select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("marks").alias("m")).join(marks, "node")
+    shared_marks = F.size(F.array_intersect("m", "marks"))
+    enough = shared_marks >= F.lit(similarity - MARK_SLACK) * (F.size("m") + F.size("marks") - shared_marks)
+    close = cut(rough.where(enough).select("a", F.col("node").alias("b")))
+    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    known = sets.select("node", "id", "category", "words").join(small(ends, 2 * close.count()), "node", "left_semi")
+    pairs = close.withColumnRenamed("a", "node").join(known, "node")
     pairs = pairs.select(F.col("node").alias("a"), F.col("b").alias("node"), F.struct("id", "category", "words").alias("x")).join(known, "node")
     pairs = pairs.select("a", F.col("node").alias("b"), F.col("x.id").alias("id_a"), F.col("id").alias("id_b"), "x", "category", F.split("x.words", " ").alias("v"), F.split("words", " ").alias("w"))
     both = F.size(F.array_intersect("v", "w"))
-    exact = (F.col("x.category") == F.col("category")) & (both >= F.lit(similarity) * (F.size("v") + F.size("w") - both) - 1e-9)
+    exact = (F.col("x.category") == F.col("category")) & likeness(both, F.size("v") + F.size("w"))
     return pairs.where(exact).select("a", "b", "id_a", "id_b"), copies.select("rep", "rep_id", "id")
 
 
