@@ -102,37 +102,36 @@ def kept_events(events: DataFrame) -> DataFrame:
 
 
 class QuotientTable:
-    """A table of identifiers in the shared folder, one directory for each group of quotients.
+    """A table of identifiers in the shared folder, in folders by batch and group of quotients.
 
     ``insert`` adds the identifiers that are not held and returns them. The remainders are stored whole, so a match is
-    never false. A batch only reads the directories of its own quotients.
+    never false. A batch only reads the folders of its own quotients' groups.
     """
 
+    _KIND = "rest bigint, tail binary, quotient int, batch string, bucket int"
+
     def __init__(self, spark, path: str, groups: int = 64):
         self.spark, self.path, self.groups = spark, path, groups
 
     def held(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("rest bigint, tail binary, quotient int, bucket int").parquet(self.path)
+            return self.spark.read.schema(self._KIND).parquet(self.path)
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
 
-    def insert(self, batch: DataFrame, column: str) -> DataFrame:
-        """Insert a batch; returns its different new identifiers in ``column``. Null identifiers are ignored.
+    def insert(self, rows: DataFrame, column: str, batch: str) -> DataFrame:
+        """Insert the identifiers in ``column`` under a batch's name; returns the new ones. Nulls are ignored.
 
-        Inserting the same batch again adds nothing, so a batch may be retried.
+        What the same batch inserted before is replaced and counts as new again, so a batch may be retried.
         """
-        keys = batch.where(F.col(column).isNotNull()).select(quotient_key(F.col(column)).alias("k"), F.col(column)).select(
-            "k.*", (F.col("k.quotient") % self.groups).alias("bucket"), column
-        )
-        new = keys.dropDuplicates(["quotient", "rest", "tail"])
-        held = self.held()
+        keyed = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("named"), quotient_key(F.col(column)).alias("key"))
+        keys = keyed.select("named", "key.*", (F.col("key.quotient") % self.groups).alias("bucket"))
+        new, held = keys.dropDuplicates(["quotient", "rest", "tail"]), self.held()
         if held is not None:
-            new = new.join(held, ["bucket", "quotient", "rest", "tail"], "left_anti")
+            new = new.join(held.where(F.col("batch") != batch), ["bucket", "quotient", "rest", "tail"], "left_anti")
         new = written(new, "quotient-batch")
-        new.select("rest", "tail", "quotient", "bucket").repartition("bucket").write.mode("append").partitionBy(
-            "bucket"
-        ).parquet(self.path)
-        return new.select(column)
+        entries = new.select("rest", "tail", "quotient", "bucket").repartition("bucket")
+        entries.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
+        return new.select(F.col("named").alias(column))

@@ -17,7 +17,7 @@ from eventloom.session import cut, written
 RANGE = 256
 FAN = 64
 
-_STATE = "struct<alive:boolean,status:string,importance:string,version:bigint>"
+_STATE = "struct<alive:boolean,status:string,importance:string,version:bigint,stamped:boolean>"
 
 
 def ordered_log(patches: DataFrame) -> DataFrame:
@@ -124,10 +124,10 @@ def accepted_patches(log: DataFrame, size: int = RANGE) -> DataFrame:
     )
 
 
-def _state(alive, status, importance, version) -> Column:
+def _state(alive, status, importance, version, stamped) -> Column:
     return F.struct(
         alive.alias("alive"), status.cast("string").alias("status"), importance.cast("string").alias("importance"),
-        version.cast("bigint").alias("version"),
+        version.cast("bigint").alias("version"), stamped.alias("stamped"),
     )
 
 
@@ -135,11 +135,13 @@ def item_functions(accepted: DataFrame) -> DataFrame:
     """Each operation of each accepted patch as a function on its item: ``store_id, item_id, seq, at, absent, held``.
 
     ``absent`` is what the operation makes of an item that is not held: a state, with ``alive`` false for none.
-    ``held`` is what it makes of one that is held: ``alive`` false drops it, otherwise each null part stays as it was.
+    ``held`` is what it makes of one that is held: ``alive`` false drops it, otherwise each null part stays as it was, and
+    so does the version unless ``stamped``, since a version may be null.
     """
     null = F.lit(None)
-    none = _state(F.lit(False), null, null, null)
-    same = _state(F.lit(True), null, null, null)
+    yes, no = F.lit(True), F.lit(False)
+    none = _state(no, null, null, null, no)
+    same = _state(yes, null, null, null, no)
 
     def ops(kind: str, rank: int, item, absent, held):
         return F.transform(
@@ -153,10 +155,10 @@ def item_functions(accepted: DataFrame) -> DataFrame:
     new = F.col("new")
     every = [
         ops("add", 0, lambda x: x["id"],
-            lambda x: _state(F.lit(True), F.lit("active"), F.coalesce(x["importance"], F.lit("medium")), new), lambda x: same),
-        ops("update", 1, lambda x: x["id"], lambda x: none, lambda x: _state(F.lit(True), x["status"], x["importance"], new)),
+            lambda x: _state(yes, F.lit("active"), F.coalesce(x["importance"], F.lit("medium")), new, yes), lambda x: same),
+        ops("update", 1, lambda x: x["id"], lambda x: none, lambda x: _state(yes, x["status"], x["importance"], new, yes)),
         ops("remove", 2, lambda x: x, lambda x: none, lambda x: none),
-        ops("supersede", 3, lambda x: x, lambda x: none, lambda x: _state(F.lit(True), F.lit("superseded"), null, new)),
+        ops("supersede", 3, lambda x: x, lambda x: none, lambda x: _state(yes, F.lit("superseded"), null, new, yes)),
     ]
     kind = f"array<struct<item_id:string,at:struct<rank:int,place:int>,absent:{_STATE},held:{_STATE}>>"
     none_yet = F.array().cast(kind)
@@ -173,7 +175,8 @@ def _then(f: Column, g_held: Column, g_absent: Column) -> Column:
         g_held["alive"],
         F.when(g_held["alive"], F.coalesce(g_held["status"], f["status"])),
         F.when(g_held["alive"], F.coalesce(g_held["importance"], f["importance"])),
-        F.when(g_held["alive"], F.coalesce(g_held["version"], f["version"])),
+        F.when(g_held["stamped"], g_held["version"]).when(g_held["alive"], f["version"]),
+        g_held["stamped"] | (g_held["alive"] & f["stamped"]),
     )
     return F.when(f["alive"], kept).otherwise(g_absent)
 
@@ -181,7 +184,7 @@ def _then(f: Column, g_held: Column, g_absent: Column) -> Column:
 def _composed(functions: Column) -> Column:
     """The composition of an ordered array of item functions."""
     null = F.lit(None)
-    unit = F.struct(_state(F.lit(False), null, null, null).alias("absent"), _state(F.lit(True), null, null, null).alias("held"))
+    unit = F.struct(_state(F.lit(False), null, null, null, F.lit(False)).alias("absent"), _state(F.lit(True), null, null, null, F.lit(False)).alias("held"))
     return F.aggregate(
         functions,
         unit,

@@ -1,0 +1,107 @@
+"""Sources, sinks and streams on small files."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from eventloom.sources import files, sinks, transcripts
+from eventloom.streaming import pipelines
+
+
+def test_transcripts(spark, tmp_path):
+    block = lambda **k: k
+    lines = [
+        {"type": "user", "sessionId": "s1", "timestamp": "2026-01-01T00:00:00Z", "message": {"content": [block(type="text", text="do it")]}},
+        {"type": "assistant", "sessionId": "s1", "timestamp": "2026-01-01T00:00:01Z",
+         "message": {"id": "m1", "model": "x", "usage": {"input_tokens": 3, "output_tokens": 4},
+                     "content": [block(type="thinking", text="hm"), block(type="text", text="ok"),
+                                 block(type="tool_use", id="t1", name="Bash", input='{"command": "ls"}'),
+                                 block(type="tool_use", id="t2", name="Edit", input='{"file_path": "a/b.py"}')]}},
+        {"type": "user", "sessionId": "s1", "timestamp": "2026-01-01T00:00:02Z",
+         "message": {"content": [block(type="tool_result", tool_use_id="t1", content="x"), block(type="tool_result", tool_use_id="t2", content="bad", is_error=True)]}},
+        {"type": "user", "sessionId": "s1", "isSidechain": True, "message": {"content": [block(type="text", text="no")]}},
+    ]
+    folder = tmp_path / "deep" / "er"
+    folder.mkdir(parents=True)
+    (folder / "s1.jsonl").write_text("\n".join(json.dumps(x) for x in lines) + "\n{broken\n")
+    records = transcripts.read_lines(spark, f"file://{tmp_path}").cache()
+    assert records.where("_corrupt_record IS NOT NULL").count() == 1
+    events = transcripts.transcript_events(records).select("session_id", "type", "payload.text", "payload.command", "payload.path", "payload.error").collect()
+    assert sorted(e.type for e in events) == ["ASSISTANT_MESSAGE", "ERROR_DETECTED", "FILE_CHANGED", "TOOL_CALL", "TOOL_RESULT", "USER_MESSAGE"]
+    assert {e.session_id for e in events} == {"s1"}
+    assert [(r.input_tokens, r.cached_tokens) for r in transcripts.transcript_usage(records).collect()] == [(3, 0)]
+
+
+def test_hooks_rollouts_and_normalised(spark):
+    hook = spark.createDataFrame(
+        [("SessionStart", "s", "/x/proj", None, None, None, None, None, None, None), ("Stop", "s", None, None, None, None, None, None, None, None),
+         ("PostToolUse", "s", None, None, None, None, "Bash", '{"command": "false"}', '{"exit_code": 1, "stdout": "o"}', None)], transcripts.HOOK
+    )
+    got = {r.type: r.payload for r in transcripts.hook_events(hook).collect()}
+    assert set(got) == {"SESSION_STARTED", "COMMAND_EXECUTED"} and got["SESSION_STARTED"].project == "proj" and got["COMMAND_EXECUTED"].exit_code == 1
+    rollout = spark.createDataFrame(
+        [("event_msg", None, ("user_message", None, None, None, None, None, None, None, None, None, "hi")), ("response_item", None, ("function_call", None, None, None, None, "shell", None, '{"command": "ls"}', "c1", None, None)),
+         ("event_msg", None, ("token_count", None, None, None, None, None, None, None, None, None, None))], transcripts.ROLLOUT
+    )
+    rows = transcripts.rollout_events(rollout, F.lit("ctx")).collect()
+    assert sorted(r.type for r in rows) == ["TOOL_CALL", "USER_MESSAGE"] and {r.session_id for r in rows} == {"ctx"}
+    raw = spark.createDataFrame([('{"session_id": "s", "type": "USER_MESSAGE", "payload": {"text": "x"}}',), ("[]",), (None,)], "value string")
+    (event,) = transcripts.normalised_events(raw).collect()
+    assert event.importance == "medium" and event.importance_source == "default" and len(event.dedupe_hash) == 32
+
+
+def test_instruction_rules(spark):
+    text = "---\na: b\n---\n# Rules\n- You must never push to main\n\n<!-- hidden line of text -->\n```\ncode line that is long\n```\n## Style\n1. Prefer small functions here\nshort"
+    rows = files.instruction_rules(spark.createDataFrame([("f", text), (None, text), ("g", None), ("h", "")], "path string, content string"), "path", "content").collect()
+    assert [(r.section, r.rule, r.category) for r in sorted(rows, key=lambda r: r.line)] == [
+        ("Rules", "You must never push to main", "constraints"), ("Style", "Prefer small functions here", "conventions")
+    ]
+
+
+def test_memory_files_and_import_plan(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\nname: A\ntype: feedback\n---\nbody\n")
+    (tmp_path / "b.md").write_text("no front matter")
+    entries = files.memory_entries(files.read_files(spark, f"file://{tmp_path}")).collect()
+    assert [(e.name, e.kind, e.description, e.body) for e in entries] == [("A", "feedback", None, "body")]
+    plan = files.import_plan(
+        spark.createDataFrame([("k1", "h1"), ("k2", "h2"), ("k3", "h3")], "key string, content_hash string"),
+        spark.createDataFrame([("k2", "h2"), ("k3", "old"), ("k4", "h4")], "key string, content_hash string"),
+    )
+    assert {r.key: r.action for r in plan.collect()} == {"k1": "add", "k2": "keep", "k3": "replace", "k4": "drop"}
+
+
+def test_ignore_rules(spark):
+    rules = ["# note", "*.log", "!keep.log", "/build", "docs/**/tmp", "cache/"]
+    want = {"a.log": True, "x/a.log": True, "keep.log": False, "build/x": True, "src/build": False, "docs/a/b/tmp": True, "cache/y": True, "z/cache/y": True, "cache": False, "a.txt": False}
+    rows = spark.createDataFrame([(p,) for p in want], "p string").select("p", files.ignored(F.col("p"), rules).alias("i")).collect()
+    assert {r.p: r.i for r in rows} == want
+
+
+def test_marked_blocks(spark):
+    text = "head\n<!-- m:start -->\nold $1\n<!-- m:end -->\ntail"
+    row = spark.createDataFrame([(text, "plain")], "t string, p string").select(
+        files.marked_block(F.col("t"), "m").alias("old"), files.with_block(F.col("t"), "m", F.lit("new \\ $2")).alias("new"),
+        files.with_block(F.col("p"), "m", F.lit("x")).alias("added"), files.with_block(F.col("t"), "m", F.lit(None).cast("string")).alias("gone"),
+    ).first()
+    assert row.old == "old $1" and row.new == "head\n<!-- m:start -->\nnew \\ $2\n<!-- m:end -->\ntail"
+    assert row.added.endswith("<!-- m:start -->\nx\n<!-- m:end -->") and row.gone == "head\n\ntail"
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "h1", "2026-01-01 00:00:00"), ("s", "h1", "2026-01-01 00:00:00"), ("s", "h2", None)], "session_id string, dedupe_hash string, t string").select(
+        "session_id", "dedupe_hash", F.to_timestamp("t").alias("ts")
+    )
+    assert sinks.append_new_events(rows, f"file://{tmp_path}/e") == 2
+    assert sinks.append_new_events(rows, f"file://{tmp_path}/e") == 0
+    old = rows.withColumn("processed_at", F.col("ts"))
+    assert sinks.kept_by_retention(old, "2026-03-01 00:00:00", 30).count() == 1
+    sinks.export_state(rows, rows, rows, f"file://{tmp_path}/out")
+    assert spark.read.json(f"file://{tmp_path}/out/items").count() == 3
+
+
+def test_triage_stream_over_batches(spark, data, tmp_path):
+    events = spark.read.parquet(f"{data}/session_events.parquet").repartition(3)
+    events.write.parquet(f"file://{tmp_path}/in")
+    out = pipelines.triage_stream(pipelines.event_stream(spark, f"file://{tmp_path}/in", files=1), f"file://{tmp_path}/run")
+    assert out.select(F.lower(F.btrim("id"))).distinct().count() == out.count() > 0
+    assert out.select("batch").distinct().count() == 3
