@@ -42,7 +42,7 @@ def memory_entries(files: DataFrame) -> DataFrame:
     field = lambda name: F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^\s*{name}:\s*(.*)$", 1)), F.lit(""))
     return files.where(head != "").select(
         "path", field("name").alias("name"), F.coalesce(field("type"), F.lit("note")).alias("kind"), field("description").alias("description"),
-        F.trim(F.regexp_replace("content", r"(?s)\A---\n.*?\n---\n", "")).alias("body"),
+        F.btrim(F.regexp_replace("content", r"(?s)\A---\n.*?\n---\n", ""), F.lit(" \t\r\n")).alias("body"),
     )
 
 
