@@ -30,6 +30,9 @@ MARK_SLACK = 0.1
 #: Copies (16 bytes each) up to which their list may be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Pairs that a task gives out at once.
+PAIRS_AT_ONCE = 500_000
+
 _ENTRIES = "band int, part int, block bigint, buckets array<int>, places array<smallint>"
 
 
@@ -79,8 +82,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node), *part.columns], ["node", *part.schema.names])
 
 
-def _pairs_in(part: pa.Table) -> pa.Table:
-    """The pairs of items in one bucket, over a part of a band."""
+def _pairs_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of items in one bucket, over a part of a band, some at a time."""
+    part = pa.Table.from_batches(list(batches))
     block = np.repeat(part.column("block").to_numpy(), [len(x) for x in part.column("buckets")])
     places = part.column("places").combine_chunks().flatten().to_numpy().view(np.uint16)
     bucket = part.column("buckets").combine_chunks().flatten().to_numpy()
@@ -89,11 +93,17 @@ def _pairs_in(part: pa.Table) -> pa.Table:
     bucket, node = bucket[order], node[order]
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     sizes = np.diff(np.append(starts, len(bucket)))
-    ends = np.repeat(starts + sizes, sizes)
-    left = ends - np.arange(len(bucket)) - 1
-    first = np.repeat(np.arange(len(bucket)), left)
-    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(left) - left, left)
-    return pa.table({"a": node[first], "b": node[second]})
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(bucket)) - 1
+    done = np.concatenate([[0], np.cumsum(left)])
+    low = 0
+    while low < len(node):
+        high = max(low + 1, int(np.searchsorted(done, done[low] + PAIRS_AT_ONCE, "right")) - 1)
+        some = left[low:high]
+        first = np.repeat(np.arange(low, high), some)
+        second = first + 1 + np.arange(len(first)) - np.repeat(done[low:high] - done[low], some)
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(node[second])], ["a", "b"])
+        low = high
 
 
 def _sets(items: DataFrame) -> DataFrame:
