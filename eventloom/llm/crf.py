@@ -40,7 +40,7 @@ def _shape(core: str) -> str:
 
 
 def learned_words(examples: list[tuple[str, list[tuple[int, int, str]]]]) -> dict[str, frozenset]:
-    """What the labelled names teach about words: given names, and the beginnings and ends of family names.
+    """What the labelled pieces teach: given names, the beginnings and ends of family names, and the shapes of numbers.
 
     A family name is the word that stands last in a name without comma, or first in one with it."""
     given, heads, tails = set(), set(), set()
@@ -52,7 +52,14 @@ def learned_words(examples: list[tuple[str, list[tuple[int, int, str]]]]) -> dic
                 given.add(first)
                 heads.update(w[:3] for w in family)
                 tails.update(w[-4:] for w in family)
-    return {"given": frozenset(given), "heads": frozenset(heads), "tails": frozenset(tails)}
+    shapes = {f"shapes_{kind}": frozenset(number_shape(text[a:b]) for text, spans in examples for a, b, k in spans if k == kind) for kind in KINDS}
+    return {"given": frozenset(given), "heads": frozenset(heads), "tails": frozenset(tails), **shapes}
+
+
+def number_shape(text: str) -> str:
+    """A number with its letters as A, its digits as 0 and its hyphens alike."""
+    plain = unicodedata.normalize("NFKC", text).replace("\u2010", "-").replace("\u2011", "-")
+    return "".join("A" if c.isalpha() else "0" if c.isdigit() else c for c in plain)
 
 
 class Tagger:
@@ -79,7 +86,7 @@ class Tagger:
                 found += [f"p={low[:3]}", f"p={low[:4]}", f"u={low[-3:]}", f"u={low[-4:]}", f"u={low[-5:]}"]
         elif core.isdigit():
             found += [f"f={low[:1]}|{len(low)}", f"f={low[:2]}|{len(low)}", f"f={low[:3]}|{len(low)}"]
-        near = known or family or core.isdigit() or core == "@" or low == "dot"
+        near = known or family or core.isdigit() or core == "@" or low == "dot" or (low == "at" and not gap)
         return found, f"{shape}|{gap}|{known}{family}", near
 
     def _ids(self, found: list[str], grow: bool) -> list[int]:
