@@ -10,8 +10,8 @@ def floor_index_percentiles(df: DataFrame, group: str, value: str, quantiles: di
     """Exact percentiles of each group: the value at index ``min(n - 1, floor(q * n))`` of the ascending list.
 
     Values are counted in ``bins`` equal parts of their group's range, which are few rows; running counts over them
-    name the bin that holds each index, and only the values of those bins are ranked. So a hot group is counted
-    map-side and never sorted whole. Null values do not count; a group without values gives no row; NaN is the
+    name the bin that holds each index, and only the different values of those bins are ranked, with their counts. So a
+    hot group or value is counted map-side and never sorted whole. Null values do not count; a group without values gives no row; NaN is the
     greatest value.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
@@ -29,8 +29,10 @@ def floor_index_percentiles(df: DataFrame, group: str, value: str, quantiles: di
     holds = counts.select("g", "bin", "before", "c", wanted.alias("w")).where("w.at >= before AND w.at < before + c")
     holds = holds.select(F.col("g").alias("h"), F.col("bin").alias("b"), F.col("w.name").alias("name"), (F.col("w.at") - F.col("before") + 1).alias("nth"))
     inside = binned.join(holds, F.col("g").eqNullSafe(F.col("h")) & (F.col("bin") == F.col("b")))
-    rank = F.row_number().over(Window.partitionBy("g", "bin", "name").orderBy("v"))
-    found = inside.withColumn("rank", rank).where("rank = nth").groupBy("g").pivot("name", list(quantiles)).agg(F.first("v"))
+    values = inside.groupBy("g", "bin", "name", "nth", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("g", "bin", "name").orderBy("v"))
+    reached = values.withColumn("upto", upto).where("nth <= upto AND nth > upto - c")
+    found = reached.groupBy("g").pivot("name", list(quantiles)).agg(F.first("v"))
     return found.select(F.col("g").alias(group), *[F.col(k) for k in quantiles])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.metrics import running_sum
+
 #: Attempts that a success looks back, calls that may lie between repeats, and repeats that make a loop.
 LOOK_BACK, GAP, LEAST_REPEATS = 5, 15, 3
 
@@ -32,13 +34,15 @@ def call_outcomes(events: DataFrame) -> DataFrame:
 
 
 def command_attempts(events: DataFrame) -> DataFrame:
-    """Commands with an exit code, numbered within their session: ``session_id, delivery_seq, i, command, ok, output``."""
+    """Commands with an exit code, numbered within their session: ``session_id, delivery_seq, i, command, ok, output``.
+
+    The numbers are running counts over ranges of ``delivery_seq``, so a long session is no single task."""
     rows = events.where("type = 'COMMAND_EXECUTED' AND session_id IS NOT NULL AND payload.command IS NOT NULL AND payload.exit_code IS NOT NULL")
-    i = F.row_number().over(Window.partitionBy("session_id").orderBy("delivery_seq"))
-    return rows.select(
-        "session_id", "delivery_seq", i.alias("i"), F.col("payload.command").alias("command"), (F.col("payload.exit_code") == 0).alias("ok"),
-        F.coalesce("payload.error", "payload.output", F.lit("")).alias("output"),
+    tries = rows.select(
+        "session_id", "delivery_seq", F.col("payload.command").alias("command"), (F.col("payload.exit_code") == 0).alias("ok"),
+        F.coalesce("payload.error", "payload.output", F.lit("")).alias("output"), F.lit(1).alias("one"),
     )
+    return running_sum(tries, "session_id", "delivery_seq", "one", "i").drop("one")
 
 
 def program(command: Column) -> Column:
@@ -56,13 +60,14 @@ def related_commands(a: Column, b: Column) -> Column:
 def recoveries(events: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
     """Failed commands with the success that put them right: ``session_id, failed_seq, fixed_seq, failed, fixed``.
 
-    A success looks back over ``look_back`` attempts to the nearest failure; the pair counts if the commands differ and
-    are related; of several successes that find one failure the first takes it.
+    A success looks back over ``look_back`` attempts to the nearest failure, by joins on the attempts' numbers; the pair
+    counts if the commands differ and are related; of several successes that find one failure the first takes it.
     """
     tries = command_attempts(events)
-    before = Window.partitionBy("session_id").orderBy("delivery_seq").rowsBetween(-look_back, -1)
-    failure = F.when(~F.col("ok"), F.struct("delivery_seq", "command"))
-    found = tries.withColumn("f", F.last(failure, ignorenulls=True).over(before)).where("ok AND f IS NOT NULL")
+    failures = tries.where("NOT ok").select("session_id", F.col("i").alias("at"), F.struct("delivery_seq", "command").alias("f"))
+    looks = tries.where("ok").select("session_id", "delivery_seq", "command", "i", F.explode(F.sequence(F.col("i") - look_back, F.col("i") - 1)).alias("at"))
+    nearest = looks.join(failures, ["session_id", "at"]).groupBy("session_id", "delivery_seq", "command")
+    found = nearest.agg(F.max_by("f", "at").alias("f"))
     pairs = found.where((F.col("f.command") != F.col("command")) & related_commands(F.col("f.command"), F.col("command")))
     return pairs.groupBy("session_id", F.col("f.delivery_seq").alias("failed_seq"), F.col("f.command").alias("failed")).agg(
         F.min("delivery_seq").alias("fixed_seq"), F.min_by("command", "delivery_seq").alias("fixed")
@@ -76,12 +81,12 @@ def repeated_calls(events: DataFrame, gap: int = GAP, least: int = LEAST_REPEATS
     answer comes between; a missing answer differs from none. Islands without answers come first (changes and gaps),
     and runs inside them change where the last known answer does, so no state is walked row by row.
     """
-    line = Window.partitionBy("session_id").orderBy("delivery_seq")
     rows = events.where("session_id IS NOT NULL").select(
         "session_id", "delivery_seq", F.when(F.col("type") == "COMMAND_EXECUTED", F.col("payload.command")).alias("call"), F.nullif(F.col("payload.output"), F.lit("")).alias("answer"),
-        (F.col("type") == "FILE_CHANGED").alias("reset"), F.row_number().over(line).alias("i"),
+        (F.col("type") == "FILE_CHANGED").cast("int").alias("reset"), F.lit(1).alias("one"),
     )
-    calls = rows.withColumn("epoch", F.sum(F.col("reset").cast("int")).over(line)).where("call IS NOT NULL")
+    counted = running_sum(running_sum(rows, "session_id", "delivery_seq", "one", "i"), "session_id", "delivery_seq", "reset", "epoch")
+    calls = counted.where("call IS NOT NULL")
     same = Window.partitionBy("session_id", "call").orderBy("delivery_seq")
     apart = F.coalesce((F.col("i") - F.lag("i").over(same) > gap) | (F.col("epoch") != F.lag("epoch").over(same)), F.lit(True))
     islands = calls.withColumn("island", F.sum(apart.cast("int")).over(same))

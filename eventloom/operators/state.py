@@ -95,3 +95,24 @@ def repeated_additions(patches: DataFrame) -> DataFrame:
     keys = ["store_id", "kind", "bare", "plain"]
     firsts = adds.groupBy(*keys).agg(F.min(F.struct("seq", "place")).alias("f"), F.count("*").alias("n")).where("n > 1")
     return adds.join(firsts, keys).where(F.struct("seq", "place") != F.col("f")).select("store_id", "seq", "place", "item_id")
+
+
+def violations(patches: DataFrame) -> DataFrame:
+    """What is wrong with patches in their log: ``store_id, seq, code, item_id``.
+
+    ``unknown_item`` changes what was never added, ``duplicate_id`` adds an id again, ``self_supersede`` names an item as
+    its own successor, ``empty_patch`` does nothing (its item is null). A place of a log counts once.
+    """
+    ops = patch_operations(patches)
+    unknown = unknown_targets(patches).select("store_id", "seq", F.lit("unknown_item").alias("code"), "item_id").distinct()
+    adds = ops.where("op = 'add' AND item_id IS NOT NULL").select("store_id", "seq", "place", "item_id")
+    first = adds.groupBy("store_id", "item_id").agg(F.min(F.struct("seq", "place")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    again = adds.join(first, ["store_id", "item_id"]).where(F.struct("seq", "place") != F.col("f")).select("store_id", "seq", F.lit("duplicate_id").alias("code"), "item_id").distinct()
+    rows = patches.where("store_id IS NOT NULL AND seq IS NOT NULL").groupBy("store_id", "seq").agg(F.min_by(F.struct("patch"), F.struct("received_at", "id")).alias("p"))
+    own = F.filter(F.coalesce("p.patch.supersede_items", F.expr("filter(p.patch.supersede_items, x -> false)")), lambda x: x["id"] == x["by_id"])
+    selves = rows.select("store_id", "seq", F.lit("self_supersede").alias("code"), F.explode(own).alias("x")).select("store_id", "seq", "code", F.col("x.id").alias("item_id")).distinct()
+    named = ("add_items", "update_items", "remove_ids", "supersede_items", "touch_ids")
+    size = sum((F.coalesce(F.size(f"p.patch.{x}"), F.lit(0)) for x in named), F.lit(0))
+    nothing = (size + F.coalesce(F.size("p.patch.working"), F.lit(0))) <= 0
+    empty = rows.where(F.col("p.patch").isNull() | nothing).select("store_id", "seq", F.lit("empty_patch").alias("code"), F.lit(None).cast("string").alias("item_id"))
+    return unknown.unionByName(again).unionByName(selves).unionByName(empty)

@@ -81,7 +81,7 @@ SQL = {
         SELECT c.session_id, c.tool_use_id, call_seq, tool, min(delivery_seq) AS outcome_seq, arg_min(type = 'TOOL_RESULT', delivery_seq) AS ok
         FROM calls c JOIN session_events e ON e.session_id = c.session_id AND e.payload.tool_use_id = c.tool_use_id
         WHERE e.type IN ('TOOL_RESULT', 'ERROR_DETECTED') AND delivery_seq > call_seq GROUP BY c.session_id, c.tool_use_id, call_seq, tool""",
-    "command_attempts": f"WITH {_ATTEMPTS} SELECT session_id, delivery_seq, CAST(i AS INT) AS i, ok, regexp_extract(command, '^\\s*(\\S+)', 1) AS program FROM attempts",
+    "command_attempts": f"WITH {_ATTEMPTS} SELECT session_id, delivery_seq, CAST(i AS BIGINT) AS i, ok, regexp_extract(command, '^\\s*(\\S+)', 1) AS program FROM attempts",
     "command_recoveries": f"WITH {_RECOVERIES} SELECT session_id, failed_seq, failed, fixed_seq, fixed FROM recoveries",
     "repeated_calls": """
         WITH rows_ AS (

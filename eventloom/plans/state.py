@@ -65,6 +65,11 @@ def patch_unknown_targets(spark, sf_dir):
     return state.unknown_targets(_read(spark, sf_dir, "patches"))
 
 
+def patch_violations(spark, sf_dir):
+    """Patches that change the unknown, add again, supersede themselves or do nothing."""
+    return state.violations(_read(spark, sf_dir, "patches"))
+
+
 def patch_repeated_additions(spark, sf_dir):
     """Additions that say again what the store was told."""
     return state.repeated_additions(_read(spark, sf_dir, "patches"))
@@ -95,7 +100,7 @@ def replay_difference(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        live_items, decayed_items, item_flags, category_listing, supersession_chains, evidence_checks, patch_op_counts, patch_unknown_targets,
+        live_items, decayed_items, item_flags, category_listing, supersession_chains, evidence_checks, patch_op_counts, patch_unknown_targets, patch_violations,
         patch_repeated_additions, touched_items, replay_as_of, replay_difference,
     )
 }
@@ -103,7 +108,8 @@ QUERIES = {
 _AGE = f"epoch(TIMESTAMP '{AS_OF}') - floor(epoch(coalesce(last_validated_at, updated_at, created_at)))"
 _LIVE = f"(status = 'active' AND (ttl_seconds IS NULL OR coalesce({_AGE} <= ttl_seconds, true)))"
 _LOG = "log AS (SELECT store_id, seq, arg_min(patch, (received_at, id)) AS patch FROM patches WHERE store_id IS NOT NULL AND seq IS NOT NULL GROUP BY store_id, seq)"
-_OPS = f"""{_LOG}, ops AS (
+_ALL = "log_all AS (SELECT store_id, seq, p.patch AS patch FROM (SELECT store_id, seq, arg_min({'patch': patch}, (received_at, id)) AS p FROM patches WHERE store_id IS NOT NULL AND seq IS NOT NULL GROUP BY store_id, seq))"
+_OPS = f"""{_LOG}, {_ALL}, ops AS (
     SELECT store_id, seq, o.op AS op, o.item_id AS item_id, o.category AS category, o.text AS text, place FROM (
         SELECT store_id, seq, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS place FROM (
             SELECT store_id, seq, list_concat(
@@ -142,6 +148,15 @@ SQL = {
         WITH {_OPS}, added AS (SELECT store_id, item_id, min(seq) AS added FROM ops WHERE op = 'add' AND item_id IS NOT NULL GROUP BY ALL)
         SELECT o.store_id, o.seq, o.op, o.item_id FROM ops o LEFT JOIN added a ON a.store_id = o.store_id AND a.item_id = o.item_id
         WHERE o.op <> 'add' AND o.item_id IS NOT NULL AND (a.added IS NULL OR a.added > o.seq)""",
+    "patch_violations": f"""
+        WITH {_OPS}, added AS (SELECT store_id, item_id, min(seq) AS added FROM ops WHERE op = 'add' AND item_id IS NOT NULL GROUP BY ALL),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY store_id, item_id ORDER BY seq, place) AS k FROM ops WHERE op = 'add' AND item_id IS NOT NULL)
+        SELECT DISTINCT o.store_id, o.seq, 'unknown_item' AS code, o.item_id FROM ops o LEFT JOIN added a ON a.store_id = o.store_id AND a.item_id = o.item_id
+        WHERE o.op <> 'add' AND o.item_id IS NOT NULL AND (a.added IS NULL OR a.added > o.seq)
+        UNION ALL SELECT DISTINCT store_id, seq, 'duplicate_id', item_id FROM numbered WHERE k > 1
+        UNION ALL SELECT DISTINCT store_id, seq, 'self_supersede', x.id FROM (SELECT store_id, seq, unnest(patch.supersede_items) AS x FROM log) WHERE x.id = x.by_id
+        UNION ALL SELECT store_id, seq, 'empty_patch', NULL FROM log_all WHERE patch IS NULL OR (coalesce(len(patch.add_items), 0) + coalesce(len(patch.update_items), 0)
+            + coalesce(len(patch.remove_ids), 0) + coalesce(len(patch.supersede_items), 0) + coalesce(len(patch.touch_ids), 0) + coalesce(cardinality(patch.working), 0)) = 0""",
     "patch_repeated_additions": f"""
         WITH {_OPS}
         SELECT store_id, seq, CAST(place AS INT) AS place, item_id FROM (

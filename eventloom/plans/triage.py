@@ -39,6 +39,12 @@ def triage_redact(spark, sf_dir):
     )
 
 
+def triage_redact_args(spark, sf_dir):
+    """Secrets masked by their name in arguments, to which each event's own hash is added under such names."""
+    args = F.concat(F.lit('{"apiKey": "'), F.coalesce("dedupe_hash", F.lit("")), F.lit('", "in": {"Session-Id":"'), F.col("session_id"), F.lit('", "args": '), F.col("payload.args"), F.lit("}}"))
+    return _events(spark, sf_dir).where("payload.args IS NOT NULL").select("delivery_seq", T.redact_json(args).alias("args"))
+
+
 def triage_classify(spark, sf_dir):
     """The importance that an event's type and text give it."""
     return _events(spark, sf_dir).select("delivery_seq", "type", triage.inferred_importance().alias("inferred"))
@@ -140,6 +146,14 @@ _TRIAGED = f"""texted AS (SELECT *, {_TEXT} AS t FROM session_events),
           OR (type = 'COMMAND_EXECUTED' AND {_MILESTONE}) THEN 'persist_and_queue' ELSE 'persist' END AS action FROM ranked)"""
 
 
+def _redacted_args() -> str:
+    text = """('{"apiKey": "' || coalesce(dedupe_hash, '') || '", "in": {"Session-Id":"' || session_id || '", "args": ' || payload.args || '}}')"""
+    text = f"regexp_replace({text}, {_q(T.SECRET_VALUE)}, {_q(chr(92) + '1' + chr(34) + T.MASK + chr(34))}, 'g')"
+    for pattern, left in T.SECRETS:
+        text = f"regexp_replace({text}, {_q(pattern)}, {_q(left.replace('$', chr(92)))}, 'g')"
+    return f"SELECT delivery_seq, {text} AS args FROM session_events WHERE payload.args IS NOT NULL"
+
+
 def _redaction() -> tuple[str, str]:
     text = f"({_TEXT} || chr(10) || 'API_TOKEN=' || coalesce(dedupe_hash, '') || ' https://bot:' || id || '@host/x')"
     step, masked = "SELECT delivery_seq, " + text + " AS t0 FROM session_events", []
@@ -155,7 +169,7 @@ _STEPS, _MASKED = _redaction()
 QUERIES = {
     f.__name__: f
     for f in (
-        triage_dedupe, triage_excluded, triage_trim, triage_redact, triage_classify, triage_route, ingest_statistics, unchanged_files,
+        triage_dedupe, triage_excluded, triage_trim, triage_redact, triage_redact_args, triage_classify, triage_route, ingest_statistics, unchanged_files,
         token_estimate, pending_summary, file_index, shed_queue,
     )
 }
@@ -170,6 +184,7 @@ SQL = {
                CAST(length(t) AS BIGINT) AS original_chars, sha256(t) AS original_hash
         FROM (SELECT delivery_seq, payload.text AS t FROM session_events) WHERE length(t) > 400""",
     "triage_redact": f"SELECT delivery_seq, t{len(T.SECRETS)} AS text, CAST({_MASKED} AS BIGINT) AS masked FROM ({_STEPS})",
+    "triage_redact_args": _redacted_args(),
     "triage_classify": f"WITH {_TRIAGED} SELECT delivery_seq, type, inferred FROM triaged",
     "triage_route": f"WITH {_TRIAGED} SELECT delivery_seq, rank, action, tokens FROM triaged",
     "ingest_statistics": f"WITH {_TRIAGED} SELECT action, rank, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM triaged GROUP BY action, rank",
