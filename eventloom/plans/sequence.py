@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.operators import sequence as S
+from eventloom.operators import similarity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,11 @@ def stale_references(spark, sf_dir):
     return S.stale_references(_read(spark, sf_dir, "memory_items"), files)
 
 
+def restatements(spark, sf_dir):
+    """Different statements of one category with nearly the same words."""
+    return similarity.restatements(_read(spark, sf_dir, "memory_items"), 0.8, by_words=True)
+
+
 def recovery_notes(spark, sf_dir):
     """What the assistant said last between a failure and its recovery."""
     events = _read(spark, sf_dir, "session_events")
@@ -57,7 +63,7 @@ def recovery_notes(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (call_outcomes, command_attempts, command_recoveries, repeated_calls, error_classes, path_references, stale_references, recovery_notes)
+    for f in (call_outcomes, command_attempts, command_recoveries, repeated_calls, error_classes, path_references, stale_references, restatements, recovery_notes)
 }
 
 _ATTEMPTS = """attempts AS (
@@ -109,6 +115,18 @@ SQL = {
     "stale_references": f"""
         SELECT n.id, count(*) AS named, count(f.path) AS present, count(f.path) = 0 AS stale FROM ({_REFS}) n
         LEFT JOIN (SELECT DISTINCT payload.path AS path FROM session_events WHERE payload.path IS NOT NULL) f ON f.path = n.path GROUP BY n.id""",
+    "restatements": """
+        WITH plain AS (
+            SELECT id, category, trim(regexp_replace(regexp_replace(lower(text), '\\[[^\\]]*\\]', ' ', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS p
+            FROM memory_items WHERE category IS NOT NULL AND text IS NOT NULL),
+        said AS (
+            SELECT id, category, list_distinct(string_split(p, ' ')) AS g
+            FROM (SELECT category, p, min(id) AS id FROM plain WHERE p <> '' GROUP BY category, p)),
+        pairs AS (
+            SELECT a.id AS id_a, b.id AS id_b, len(a.g) AS n, len(b.g) AS m, len(list_intersect(a.g, b.g)) AS k
+            FROM said a JOIN said b ON a.category = b.category AND a.id < b.id
+            WHERE least(len(a.g), len(b.g)) >= 0.8 * greatest(len(a.g), len(b.g)) - 1e-9)
+        SELECT id_a, id_b, round(k / (n + m - k), 6) AS similarity FROM pairs WHERE k / (n + m - k) >= 0.8 - 1e-9""",
     "recovery_notes": f"""
         WITH {_RECOVERIES}
         SELECT failed_seq, max(delivery_seq) AS note_seq FROM recoveries r JOIN session_events e ON e.session_id = r.session_id
