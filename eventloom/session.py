@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,16 @@ def drop_written(spark: SparkSession) -> None:
     """Delete every intermediate table that ``written`` left in the shared folder."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once an application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-eventloom-')}/eventloom", "zip", package.parent, package.name)
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
