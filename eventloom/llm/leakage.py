@@ -65,34 +65,30 @@ def fingerprints(texts: DataFrame, key: str, text: str, gram: int = GRAM, run: i
     return words.where(F.size("words") >= run).mapInArrow(choose, "key bigint, hash bigint, place int")
 
 
+def _equal_runs(doc: np.ndarray, item: np.ndarray, shifts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The equal runs on each of the diagonals of two word lists: their first places in ``doc`` and the places after."""
+    for shift in shifts:
+        low, high = max(0, -shift), min(len(item), len(doc) - shift)
+        if high > low:
+            same = np.concatenate([[False], item[low:high] == doc[low + shift : high + shift], [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1]) + low + shift
+            yield edges[::2], edges[1::2]
+
+
 def _longest_runs(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The longest equal run on the diagonals of each pair of word lists."""
     for pdf in pairs:
         best = []
         for doc, item, shifts in zip(pdf["doc_words"], pdf["item_words"], pdf["shifts"], strict=True):
-            doc, item, most = np.asarray(doc, object), np.asarray(item, object), 0
-            for shift in shifts:
-                low, high = max(0, -shift), min(len(item), len(doc) - shift)
-                if high > low:
-                    same = np.concatenate([[False], item[low:high] == doc[low + shift : high + shift], [False]])
-                    edges = np.flatnonzero(same[1:] != same[:-1])
-                    most = max(most, int((edges[1::2] - edges[::2]).max(initial=0)))
-            best.append(most)
+            runs = _equal_runs(np.asarray(doc, object), np.asarray(item, object), shifts)
+            best.append(max((int((end - first).max(initial=0)) for first, end in runs), default=0))
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "item_id": pdf["item_id"], "run": best})
 
 
-def leaked_items(
-    documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """The documents that hold ``run`` words in a row of an item: ``(doc_id, item_id, run)``, ``run`` being the longest.
-
-    Fingerprints of both sides are joined on their hash; every hit names a diagonal of the two texts, which is then
-    compared word by word, so a hash that two grams share is no error. Items and hits are broadcast only if their
-    counted rows are at most ``broadcast_rows``; otherwise the same joins are shuffled. Fingerprints that many
-    documents share are no hot key: the join drops what no item has, and hits are collapsed to pairs map-side.
+def _compared(documents: DataFrame, items: DataFrame, run: int, gram: int, broadcast_rows: int) -> DataFrame:
+    """Documents and items that share a fingerprint: ``(doc_id, doc_key, item_id, shifts, doc_words, item_words)``.
 
-    Nulls: a null id or text, and a text with fewer than ``run`` words, give no row. Repeated rows count once. Extra
-    columns are ignored. Either side may be empty.
+    ``shifts`` are the diagonals of the shared fingerprints, ``doc_key`` is a hash of the document's text.
     """
     probes = cut(fingerprints(items, "item_id", "text", gram, run))
     small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
@@ -108,7 +104,48 @@ def leaked_items(
     texts = items.where("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text"))
     few = texts.join(small(hits.select("item_id").distinct()), "item_id", "left_semi")
     pairs = docs.join(small(hits), "doc_id").join(small(few), "item_id")
-    found = pairs.select(
-        "doc_id", "item_id", "shifts", lower_words(F.col("doc_text")).alias("doc_words"), lower_words(F.col("item_text")).alias("item_words")
-    ).mapInPandas(_longest_runs, "doc_id bigint, item_id bigint, run int")
+    return pairs.select(
+        "doc_id", F.xxhash64("doc_text").alias("doc_key"), "item_id", "shifts",
+        lower_words(F.col("doc_text")).alias("doc_words"), lower_words(F.col("item_text")).alias("item_words"),
+    )
+
+
+def leaked_items(
+    documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The documents that hold ``run`` words in a row of an item: ``(doc_id, item_id, run)``, ``run`` being the longest.
+
+    Fingerprints of both sides are joined on their hash; every hit names a diagonal of the two texts, which is then
+    compared word by word, so a hash that two grams share is no error. Items and hits are broadcast only if their
+    counted rows are at most ``broadcast_rows``; otherwise the same joins are shuffled. Fingerprints that many
+    documents share are no hot key: the join drops what no item has, and hits are collapsed to pairs map-side.
+
+    Nulls: a null id or text, and a text with fewer than ``run`` words, give no row. Repeated rows count once. Extra
+    columns are ignored. Either side may be empty.
+    """
+    pairs = _compared(documents, items, run, gram, broadcast_rows).drop("doc_key")
+    found = pairs.mapInPandas(_longest_runs, "doc_id bigint, item_id bigint, run int")
     return found.where(F.col("run") >= run).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
+
+
+def passages(
+    documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The passages of items in each document: ``(doc_id, doc_key, spans)``, found as in ``leaked_items``.
+
+    ``spans`` are the first word and the word after of every run of at least ``run`` words shared with an item, counted
+    in the document's ``lower_words``; spans of different items may overlap. Documents with one id and different texts
+    have a row each, told apart by ``doc_key``, ``xxhash64`` of the text. Documents without a passage have no row.
+    """
+
+    def runs(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pairs:
+            out = []
+            for pair in pdf.itertuples(index=False):
+                for first, end in _equal_runs(np.asarray(pair.doc_words, object), np.asarray(pair.item_words, object), pair.shifts):
+                    out += [(pair.doc_id, pair.doc_key, a, b) for a, b in zip(first, end, strict=True) if b - a >= run]
+            yield pd.DataFrame(out, columns=["doc_id", "doc_key", "first", "end"])
+
+    pairs = _compared(documents, items, run, gram, broadcast_rows).drop("item_id")
+    found = pairs.mapInPandas(runs, "doc_id bigint, doc_key bigint, first int, end int")
+    return found.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("first", "end")).alias("spans"))

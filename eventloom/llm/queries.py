@@ -52,7 +52,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document with at least 40 words."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reading_level.reading_levels(documents, spark.read.parquet(f"{sf_dir}/reading_labels.parquet"))
+    labels, items = spark.read.parquet(f"{sf_dir}/reading_labels.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet")
+    return reading_level.reading_levels(documents, labels, items=items)
 
 
 QUERIES = {

@@ -12,7 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.session import written
+from eventloom.llm.leakage import BROADCAST_ROWS, passages
+from eventloom.llm.words import lower_words
+from eventloom.session import cut, written
 
 LEVELS = 4
 #: Words of a document from which it has a level.
@@ -39,6 +41,8 @@ _END = "."
 _NOT_PROSE = r"(?s:```.*?```)|(?m:^[ \t]*\[?\d{2}:\d{2}:\d{2}[^\n]*)"
 _IDENTIFIER = re.compile(r"[_/\\@=<>{}\d`]|[a-zß-öø-ÿ][A-ZÀ-ÖØ-Þ]")
 _WORD = re.compile(r"[^\W\d_]+")
+#: The white space that ``prose_chunks`` splits at.
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def prose_chunks(text: Column) -> Column:
@@ -46,6 +50,41 @@ def prose_chunks(text: Column) -> Column:
     return F.split(F.regexp_replace(text, _NOT_PROSE, " "), r"\s+")
 
 
+def text_pieces(text: Column) -> Column:
+    """A text as the words and single characters between them, each with its number of ``lower_words``.
+
+    What is no prose is one piece, given out as a blank; the joined pieces are the text that ``prose_chunks`` splits."""
+    pieces = F.regexp_extract_all(text, F.lit(_NOT_PROSE + r"|[\p{L}\p{N}]+|(?s:.)"), F.lit(0))
+    return F.transform(pieces, lambda p: F.struct(F.regexp_replace(p, _NOT_PROSE, " ").alias("piece"), F.size(lower_words(p)).alias("n")))
+
+
+def _without_spans(pieces: list[dict], spans: list[dict]) -> str:
+    """The text without the words of the spans, the marks between them and those that follow the last one at once."""
+    inside = np.zeros(sum(p["n"] for p in pieces) + 1, bool)
+    for span in spans:
+        inside[span["first"] : span["end"]] = True
+    at, after, out = 0, False, []
+    for p in pieces:
+        if p["n"]:
+            after = bool(inside[at : at + p["n"]].any())
+            at += p["n"]
+        elif after and not inside[at] and _SPACE.match(p["piece"]):
+            after = False
+        out.append(" " if after else p["piece"])
+    return "".join(out)
+
+
+def _set_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of each document; where it has test passages, those of the rest."""
+    for batch in batches:
+        found = pc.is_valid(batch.column("spans"))
+        yield batch.filter(pc.invert(found)).select(["doc_id", "chunks"])
+        some = batch.filter(found)
+        rest = zip(some.column("pieces").to_pylist(), some.column("spans").to_pylist(), strict=True)
+        chunks = pa.array([_SPACE.split(_without_spans(*x)) for x in rest], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([some.column("doc_id"), chunks], ["doc_id", "chunks"])
+
+
 def chunk_words(chunk: str) -> list[str]:
     """The lower-case words of a chunk, and a mark if it ends a sentence; an identifier has no words."""
     words = [] if _IDENTIFIER.search(chunk) else _WORD.findall(chunk.lower())
@@ -64,7 +103,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The words of a chunk are found once for each different chunk of a batch."""
     names = list(FUNCTION_WORDS)
-    for batch in batches:
+    for batch in _set_aside(batches):
         chunks, n = batch.column("chunks"), len(batch)
         coded = chunks.flatten().dictionary_encode()
         lists = [chunk_words(x) for x in coded.dictionary.to_pylist()]
@@ -132,7 +171,14 @@ def _levels(model: np.ndarray, language, lengths, codes) -> np.ndarray:
     return (sums[ends] - sums[ends - lengths]).argmax(1)
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS, bound: int = LABEL_BOUND) -> DataFrame:
+def reading_levels(
+    documents: DataFrame,
+    labels: DataFrame,
+    rounds: int = ROUNDS,
+    bound: int = LABEL_BOUND,
+    items: DataFrame | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """The level of every document with at least 40 words: ``(doc_id, reading_level)`` from 1 to 4.
 
     The words of the prose are hashed to a fixed number of buckets. Models are fitted to the labelled documents (each
@@ -140,19 +186,31 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     given, labels included again. A language without any label starts from levels by a formula on sentence length.
     Every pass over the corpus is a map with per-task counts and a small sum; nothing is shuffled by word.
 
+    Passages of the test ``items`` (runs of at least 12 words, see ``leakage.passages``) are set aside before anything
+    is fitted or scored, but count among the 40 words. Their places are joined to the documents by id and text hash,
+    broadcast if there are at most ``broadcast_rows``, else shuffled.
+
     Nulls: a null id or text gives no row; null labels and labels outside 1 to 4 are ignored. Several labels of one
-    document count in part each. A document without prose gets the lowest level. Repeated document rows give a row
+    document count in part each. A document without prose, or with none but passages, gets the lowest level. Repeated document rows give a row
     each. Without labels the formula seeds all models. Empty documents give no rows. Extra columns are ignored.
     """
     spark = documents.sparkSession
     enough = F.regexp_count(F.col("text"), F.lit(r"[\p{L}\p{N}]+")) >= LEAST_WORDS
     read = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(enough)
+    read = read.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if items is None:
+        read = read.withColumn("spans", F.lit(None).cast("array<struct<first:int,end:int>>"))
+    else:
+        spans = cut(passages(documents, items, broadcast_rows=broadcast_rows))
+        spans = F.broadcast(spans) if spans.count() <= broadcast_rows else spans
+        read = read.withColumn("doc_key", F.xxhash64("text")).join(spans, ["doc_id", "doc_key"], "left")
+    bare = F.col("spans").isNull()
     coded = written(
-        read.select(F.col("doc_id").cast("bigint").alias("doc_id"), prose_chunks(F.col("text")).alias("chunks")).mapInArrow(
-            _coded, "doc_id bigint, language int, formula int, codes array<int>"
-        ),
+        read.select(
+            "doc_id", F.when(bare, prose_chunks(F.col("text"))).alias("chunks"), F.when(~bare, text_pieces(F.col("text"))).alias("pieces"), "spans"
+        ).mapInArrow(_coded, "doc_id bigint, language int, formula int, codes array<int>"),
         "reading-codes",
-    )
+    )
     share = [F.count_if(F.col("reading_level") == k + 1) / F.count("*") for k in range(LEVELS)]
     given = (
         labels.where("doc_id IS NOT NULL AND reading_level BETWEEN 1 AND 4")

@@ -248,6 +248,34 @@ def test_held_out_reading_levels(spark):
     assert reading_level.reading_levels(documents.limit(0), given).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
+def test_test_passages_do_not_count_in_the_level(spark, broadcast_rows):
+    rng = random.Random(7)
+    passage = " ".join(rng.choice(WORDS) for _ in range(60))
+    items = spark.createDataFrame([(1, passage, None), (2, None, None)], "item_id bigint, text string, answer string")
+    own = {i: _prose(rng, 1 + i % 4) for i in range(40)}
+    quoted = {i: f"{t} Q: {passage.title().replace(' ', ', ', 9)}.\n" if i % 2 == 0 else f"{passage}! {t}" for i, t in own.items()}
+    labels = spark.createDataFrame([(i, 1 + i % 4, "a") for i in own if i % 3], "doc_id bigint, reading_level int, annotator string")
+    kind = "doc_id bigint, text string"
+    short = "the cat sees. " + " ".join(passage.split()[:38])  # 40 words only with the passage
+    bare = {r.doc_id: r.reading_level for r in reading_level.reading_levels(spark.createDataFrame([*own.items()], kind), labels).collect()}
+    docs = spark.createDataFrame([*quoted.items(), (90, passage + " " + passage), (91, short), (7, own[7])], kind)
+    rows = reading_level.reading_levels(docs, labels, items=items, broadcast_rows=broadcast_rows).collect()
+    got = {r.doc_id: r.reading_level for r in rows}
+    assert {i: got[i] for i in own} == bare and got[90] == 1 and 91 in got and len(rows) == len(own) + 3
+
+
+def test_passages_are_cut_out_of_the_prose(spark):
+    run = " ".join(f"{w}" for w in WORDS[:12])
+    texts = [f'He said: "{run}." Then.', f"```\n{run}\n```\nx {run}; y", f"İz {run.upper()}\n12:30:01 log {run}\nend.", f"{run[:-4]} near."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "so " + run)], "item_id bigint, text string")
+    spans = leakage.passages(docs, items)
+    rows = docs.join(spans, "doc_id").select("doc_id", "spans", reading_level.text_pieces(F.col("text")).alias("p")).collect()
+    got = {r.doc_id: reading_level._without_spans(r.p, r.spans).split() for r in rows}
+    assert got == {0: ["He", "said:", '"', "Then."], 1: ["x", "y"], 2: ["İz", "end."]}
+
+
 def test_queries_run(spark, data):
     from eventloom.llm import queries
 
