@@ -50,6 +50,39 @@ def test_hooks_rollouts_and_normalised(spark):
     assert event.importance == "medium" and event.importance_source == "default" and len(event.dedupe_hash) == 32
 
 
+def test_equal_messages_are_events_of_their_own(spark, tmp_path):
+    said = lambda uuid, content: {"type": "user", "sessionId": "s", "uuid": uuid, "timestamp": "2026-01-01T00:00:00Z", "message": {"content": content}}
+    text = {"type": "text", "text": "continue"}
+    call = {"type": "tool_use", "id": "t", "name": "Grep", "input": {"q": "x" * 900, "path": "src"}}
+    lines = [said("u1", [text, text]), said("u2", "continue"), said(None, "continue"), said(None, "continue"), said("u3", '[{"a": 1}]'), said("u4", "7"), said("u5", []), said("u6", {"text": "no"})]
+    lines += [{"type": "assistant", "sessionId": "s", "uuid": "u7", "message": {"id": "m", "content": [call]}}, said("u1", [text, text])]
+    (tmp_path / "s.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    records = transcripts.read_lines(spark, f"file://{tmp_path}/s.jsonl").cache()
+    assert records.where("_corrupt_record IS NOT NULL").count() == 0
+    events = transcripts.transcript_events(records).cache()
+    users = events.where("type = 'USER_MESSAGE'").collect()
+    assert sorted(r.payload.text for r in users) == ["7", '[{"a": 1}]'] + ["continue"] * 7
+    assert len({r.dedupe_hash for r in users}) == len({r.id for r in users}) == 7  # the last record repeats the first
+    (made,) = events.where("type = 'TOOL_CALL'").collect()
+    assert json.loads(made.payload.args) == call["input"] and made.ordinal == 9
+    assert sinks.append_new_events(events, f"file://{tmp_path}/e") == 8
+
+
+def test_equal_rollout_messages_and_whole_arguments(spark, tmp_path):
+    hi = {"type": "event_msg", "payload": {"type": "user_message", "message": "ok"}}
+    lines = [hi, hi, {**hi, "ordinal": 7}, {**hi, "ordinal": 7}]
+    lines += [{"type": "response_item", "payload": {"type": "function_call", "name": "f", "call_id": "c", "arguments": json.dumps({"a": "y" * 900, "b": 1})}}]
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    rows = transcripts.rollout_events(transcripts.read_lines(spark, f"file://{tmp_path}", transcripts.ROLLOUT_NUMBERED), F.lit("ctx")).collect()
+    assert sorted(r.ordinal for r in rows) == [1, 2, 5, 7, 7] and len({r.dedupe_hash for r in rows}) == 4
+    assert [json.loads(r.payload.args)["b"] for r in rows if r.type == "TOOL_CALL"] == [1]
+    bare = spark.createDataFrame([("event_msg", t, ("user_message", None, None, None, None, None, None, None, None, None, "ok")) for t in (None, None)], transcripts.ROLLOUT)
+    assert transcripts.rollout_events(bare, F.lit("ctx")).select("ordinal").distinct().count() == 1
+    wide = [("PostToolUse", "s", None, None, None, None, "Grep", json.dumps({"q": "z" * 900, "n": n}), "o", None) for n in (1, 2)]
+    hooks = transcripts.hook_events(spark.createDataFrame(wide, transcripts.HOOK)).collect()
+    assert len({r.dedupe_hash for r in hooks}) == 2 and sorted(json.loads(r.payload.args)["n"] for r in hooks) == [1, 2]
+
+
 def test_instruction_rules(spark):
     text = "---\na: b\n---\n# Rules\n- You must never push to main\n\n<!-- hidden line of text -->\n```\ncode line that is long\n```\n## Style\n1. Prefer small functions here\nshort"
     rows = files.instruction_rules(spark.createDataFrame([("f", text), (None, text), ("g", None), ("h", "")], "path string, content string"), "path", "content").collect()
