@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.crf import JOINT, KINDS, LABELS, OFFSETS, REACH, TOKEN, Tagger, number_shape, viterbi
 
 FIELDS = ("text", "output", "error", "command", "args")
-#: Pieces around a digit, an at sign or a word like a name that are decoded with it.
+#: Pieces around a digit, an at sign, a word like a name or a pair of capitalised words that are decoded with it.
 WINDOW = 12
 #: Kinds of pieces whose scores a Python worker keeps.
 KEPT_TYPES = 100_000
@@ -45,6 +45,10 @@ def trained_tagger(path: str | None = None) -> Tagger:
     return Tagger().fit(labelled_examples(path))
 
 
+#: Marks that may stand between the parts of a name.
+_LINKS = frozenset(".,-'\u2019\u2010\u2011")
+
+
 class _Types:
     """The scores of the pieces that a worker has met."""
 
@@ -56,6 +60,7 @@ class _Types:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1, len(OFFSETS) * len(LABELS)), np.float32)
         self.classes, self.near = np.zeros(1, np.int64), np.zeros(1, bool)
+        self.capital, self.link = np.zeros(1, bool), np.zeros(1, bool)
 
     def of(self, types: list[str]) -> np.ndarray:
         """The row of each piece; row 0 is no piece."""
@@ -68,9 +73,22 @@ class _Types:
             self.rows.update({t: base + i for i, t in enumerate(new)})
             self.scores = np.concatenate([self.scores, scores])
             self.classes, self.near = np.concatenate([self.classes, classes]), np.concatenate([self.near, near])
+            cores = [t.strip() for t in new]
+            self.capital = np.concatenate([self.capital, [c[:1].isupper() for c in cores]])
+            self.link = np.concatenate([self.link, [c in _LINKS for c in cores]])
         return np.array([self.rows[t] for t in types], np.int64)
 
 
+def _name_like(capital: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """Capitalised pieces (a word or an initial) next to another, or with one mark between, as new names may stand."""
+    pair = np.zeros(len(capital), bool)
+    for gap in (1, 2):
+        both = capital[:-gap] & capital[gap:] if gap == 1 else capital[:-2] & link[1:-1] & capital[2:]
+        pair[: len(both)] |= both
+        pair[gap : gap + len(both)] |= both
+    return pair
+
+
 def _windows(near: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Which pieces are decoded: those within ``WINDOW`` of one in ``near``, in the same text."""
     at = np.flatnonzero(near)
@@ -88,7 +106,7 @@ def found_spans(tokens: pa.Array, types: _Types) -> tuple[np.ndarray, np.ndarray
     ends = np.cumsum(lengths)
     low, high = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths)
     rows = types.of(strings)[codes] if len(codes) else np.zeros(0, np.int64)
-    at = _windows(types.near[rows], low, high)
+    at = _windows(types.near[rows] | _name_like(types.capital[rows], types.link[rows]), low, high)
     if not len(at):
         return at, at, at, strings, codes
     around = {}
@@ -200,8 +218,9 @@ def personal_info(events: DataFrame, labels: str | None = None) -> DataFrame:
 
     A linear-chain conditional random field over the shapes of pieces of text, fitted to a small labelled table, tags
     them; the best labels are found by Viterbi in numpy batches. Texts are split in the JVM, whole; pieces are scored
-    once for each different piece of a batch, and only those near a digit, an at sign or a word like a name are
-    decoded, since a piece of personal data always has one. Nothing is shuffled, so no row is hot.
+    once for each different piece of a batch, and only those near a digit, an at sign, a word like a name or two
+    capitalised words are decoded; a name of two new words in lower case is left out unless one of these is near.
+    Nothing is shuffled, so no row is hot.
 
     ``found_text`` is the piece as it stands in the text. A piece that a field repeats counts once. Nulls: a null
     payload, field or ``delivery_seq`` gives no row. Repeated rows come out as often. An empty table gives no rows.

@@ -57,6 +57,12 @@ def test_personal_info_and_placeholders(spark):
     assert personal_info.personal_info(rows.limit(0)).count() == 0
 
 
+def test_names_of_new_words_are_found(spark):
+    texts = ["The Graph holds The limit. M. Rossi wants it", "ENOENT: no such file routeEthloostLedger Ingrid Weber wants it"]
+    rows = spark.createDataFrame([(i, "x", (t, None, None, None, None)) for i, t in enumerate(texts)], PAYLOAD)
+    assert sorted((r.delivery_seq, r.kind, r.found_text) for r in personal_info.personal_info(rows).collect()) == [(0, "name", "M. Rossi"), (1, "name", "Ingrid Weber")]
+
+
 def test_pieces_join_to_the_text():
     for text in ["", " \t\n", "a1２é́😀 x\r\n", "  lead", "trail  "]:
         assert "".join(crf.pieces(text)) == text
