@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -13,11 +14,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.crf import JOINT, KINDS, LABELS, OFFSETS, REACH, TOKEN, Tagger, number_shape, viterbi
+from eventloom.llm.crf import JOINT, KINDS, LABELS, OFFSETS, REACH, TOKEN, Tagger, certainly_outside, number_shape, viterbi
 
 FIELDS = ("text", "output", "error", "command", "args")
-#: Pieces around a digit, an at sign, a word like a name or a pair of capitalised words that are decoded with it.
-WINDOW = 12
 #: Kinds of pieces whose scores a Python worker keeps.
 KEPT_TYPES = 100_000
 
@@ -45,10 +44,6 @@ def trained_tagger(path: str | None = None) -> Tagger:
     return Tagger().fit(labelled_examples(path))
 
 
-#: Marks that may stand between the parts of a name.
-_LINKS = frozenset(".,-'\u2019\u2010\u2011")
-
-
 class _Types:
     """The scores of the pieces that a worker has met."""
 
@@ -59,8 +54,7 @@ class _Types:
     def clear(self):
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1, len(OFFSETS) * len(LABELS)), np.float32)
-        self.classes, self.near = np.zeros(1, np.int64), np.zeros(1, bool)
-        self.capital, self.link = np.zeros(1, bool), np.zeros(1, bool)
+        self.classes = np.zeros(1, np.int64)
 
     def of(self, types: list[str]) -> np.ndarray:
         """The row of each piece; row 0 is no piece."""
@@ -68,36 +62,13 @@ class _Types:
             self.clear()
         new = [t for t in types if t not in self.rows]
         if new:
-            scores, classes, near = self.tagger.table(new)
+            scores, classes = self.tagger.table(new)
             base = len(self.classes)
             self.rows.update({t: base + i for i, t in enumerate(new)})
-            self.scores = np.concatenate([self.scores, scores])
-            self.classes, self.near = np.concatenate([self.classes, classes]), np.concatenate([self.near, near])
-            cores = [t.strip() for t in new]
-            self.capital = np.concatenate([self.capital, [c[:1].isupper() for c in cores]])
-            self.link = np.concatenate([self.link, [c in _LINKS for c in cores]])
+            self.scores, self.classes = np.concatenate([self.scores, scores]), np.concatenate([self.classes, classes])
         return np.array([self.rows[t] for t in types], np.int64)
 
 
-def _name_like(capital: np.ndarray, link: np.ndarray) -> np.ndarray:
-    """Capitalised pieces (a word or an initial) next to another, or with one mark between, as new names may stand."""
-    pair = np.zeros(len(capital), bool)
-    for gap in (1, 2):
-        both = capital[:-gap] & capital[gap:] if gap == 1 else capital[:-2] & link[1:-1] & capital[2:]
-        pair[: len(both)] |= both
-        pair[gap : gap + len(both)] |= both
-    return pair
-
-
-def _windows(near: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which pieces are decoded: those within ``WINDOW`` of one in ``near``, in the same text."""
-    at = np.flatnonzero(near)
-    delta = np.zeros(len(near) + 1, np.int64)
-    np.add.at(delta, np.maximum(at - WINDOW, low[at]), 1)
-    np.add.at(delta, np.minimum(at + WINDOW + 1, high[at]), -1)
-    return np.flatnonzero(np.cumsum(delta[:-1]) > 0)
-
-
 def found_spans(tokens: pa.Array, types: _Types) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Spans of personal data in texts given as pieces: first and end piece, kind; then the piece strings and codes."""
     coded = tokens.flatten().dictionary_encode()
@@ -105,24 +76,23 @@ def found_spans(tokens: pa.Array, types: _Types) -> tuple[np.ndarray, np.ndarray
     lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths)
     low, high = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths)
-    rows = types.of(strings)[codes] if len(codes) else np.zeros(0, np.int64)
-    at = _windows(types.near[rows] | _name_like(types.capital[rows], types.link[rows]), low, high)
-    if not len(at):
-        return at, at, at, strings, codes
+    if not len(codes):
+        return codes, codes, codes, strings, codes
+    rows, every = types.of(strings)[codes], np.arange(len(codes))
     around = {}
     for o in range(-REACH, REACH + 1):
-        there = at + o
-        inside = (there >= low[at]) & (there < high[at])
-        around[o] = np.where(inside, rows[np.clip(there, 0, len(rows) - 1)], 0)
+        there = every + o
+        around[o] = np.where((there >= low) & (there < high), rows[np.clip(there, 0, len(rows) - 1)], 0)
     n = len(LABELS)
-    scores = np.zeros((len(at), n), np.float32)
+    scores = np.zeros((len(codes), n), np.float32)
     for k, o in enumerate(OFFSETS):
         scores += types.scores[around[o], k * n : (k + 1) * n]
     joint = types.tagger.joint({o: types.classes[r] for o, r in around.items()})
     for k in range(len(JOINT)):
         scores += types.tagger.shared[joint[:, k]]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (low[at][1:] != low[at][:-1])]))
-    labels = viterbi(scores, starts, np.diff(np.append(starts, len(at))), types.tagger.moves)
+    at = np.flatnonzero(~certainly_outside(scores, every == high - 1, types.tagger.moves))
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (low[at][1:] != low[at][:-1])])) if len(at) else at
+    labels = viterbi(scores[at], starts, np.diff(np.append(starts, len(at))), types.tagger.moves)
     begins = np.flatnonzero(labels % 2 == 1)
     further = (labels > 0) & (labels % 2 == 0)
     stops = np.flatnonzero(np.append(~further, True))
@@ -141,6 +111,10 @@ def found_spans(tokens: pa.Array, types: _Types) -> tuple[np.ndarray, np.ndarray
 _ABBREVIATED = frozenset(("st", "str"))
 _JOINTS = frozenset("-./\u2010\u2011")
 _HYPHENS = frozenset("-\u2010\u2011")
+#: Marks that the local part of an email may have between its letters and digits.
+_LOCAL = frozenset(".-_+%'")
+#: What stands for the sign of an email; the numbers follow a percent sign and ``\\u``.
+_AT = frozenset(("@", "\uff20", "at", "40", "0040"))
 
 
 def _whole_number(a: int, b: int, low: int, high: int, piece, shapes: frozenset) -> tuple[int, int] | None:
@@ -161,19 +135,49 @@ def _whole_number(a: int, b: int, low: int, high: int, piece, shapes: frozenset)
     return best
 
 
+def _new_number(kind: str, a: int, b: int, low: int, high: int, piece) -> tuple[int, int] | None:
+    """A tagged number of a shape that no label has, with all that is joined to it; None if it cannot be one: a phone
+    number has 7 to 15 digits, an identity number 7 to 18 letters and digits, more than half of them digits or all in
+    capitals, and nothing but marks between them."""
+    joined = lambda i: low < i < high and piece(i) == piece(i).lstrip()
+    part = lambda i: piece(i).strip()[:1].isalnum()
+    while joined(a) and (part(a - 1) or (piece(a - 1).strip() in _JOINTS and joined(a - 1) and part(a - 2))):
+        a -= 1
+    while joined(b) and (part(b) or (piece(b) in _JOINTS and joined(b + 1) and part(b + 1))):
+        b += 1
+    while a < b and not (part(a) or (kind == "phone" and piece(a).strip() in "+(")):
+        a += 1
+    while a < b and not part(b - 1):
+        b -= 1
+    text = unicodedata.normalize("NFKC", "".join(piece(i) for i in range(a, b)).strip())
+    letters, digits = sum(c.isalpha() for c in text), sum(c.isdigit() for c in text)
+    if any(not c.isalnum() and c not in " +()-./\u2010\u2011" for c in text):
+        return None
+    if kind == "phone":
+        return (a, b) if not letters and 7 <= digits <= 15 else None
+    return (a, b) if 7 <= letters + digits <= 18 and digits >= 5 and (digits > letters or text.upper() == text) else None
+
+
+def _local(text: str) -> bool:
+    return bool(text) and (text.isalnum() or unicodedata.category(text[0]) in ("Mn", "Mc") or text in _LOCAL)
+
+
 def _mended(kind: str, a: int, b: int, low: int, high: int, piece, words: dict) -> tuple[int, int] | None:
     """Move the ends of a tagged span to where such a piece can end; None if it can be none. ``piece`` gives the string
-    at a place. Numbers must have the shape of a labelled one; an email goes on over a joined domain; an address has a
-    number and keeps the stop of an abbreviation only; nothing crosses a line or a tab."""
+    at a place. A number takes the shape of a labelled one if one fits; an email takes all that is joined to it on the
+    left of its sign and a joined domain, and has a sign; a name has two words without digits; an address has a number and keeps the stop of an abbreviation only; nothing
+    crosses a line or a tab."""
     if kind in ("phone", "id_number"):
-        return _whole_number(a, b, low, high, piece, words[f"shapes_{kind}"])
-    joined = lambda i: i < high and piece(i) == piece(i).lstrip()
+        return _whole_number(a, b, low, high, piece, words[f"shapes_{kind}"]) or _new_number(kind, a, b, low, high, piece)
+    joined = lambda i: low < i < high and piece(i) == piece(i).lstrip()
     if kind == "email":
+        while joined(a) and _local(piece(a - 1).strip()) and not (piece(a - 1).strip() in _LOCAL and not (joined(a - 1) and _local(piece(a - 2).strip()))):
+            a -= 1
         if piece(b - 1) == "." and joined(b) and piece(b).isalpha():
             b += 1
-        while joined(b) and joined(b + 1) and piece(b) in ".-" and piece(b + 1).isalpha():
+        while joined(b) and joined(b + 1) and piece(b) in ".-" and piece(b + 1).isalnum():
             b += 2
-        return a, b
+        return (a, b) if any(piece(i).strip().lower() in _AT for i in range(a, b)) else None
     for i in range(a + 1, b):
         if piece(i)[:1] in "\t\n\r":
             if kind == "name":
@@ -194,6 +198,10 @@ def _mended(kind: str, a: int, b: int, low: int, high: int, piece, words: dict)
             b += 1
         if not any(piece(i).strip().isdigit() for i in range(a, b)):
             return None
+    if kind == "name":
+        words = [w for i in range(a, b) if (w := piece(i).strip())[:1].isalnum()]
+        if len(words) < 2 or max(map(len, words)) < 2 or not all(w.isalpha() or unicodedata.category(w[-1]) == "Mn" for w in words):
+            return None
     return (a, b) if b > a else None
 
 
@@ -217,10 +225,11 @@ def personal_info(events: DataFrame, labels: str | None = None) -> DataFrame:
     """The pieces of personal data in the payload of events: ``(delivery_seq, field, kind, found_text)``.
 
     A linear-chain conditional random field over the shapes of pieces of text, fitted to a small labelled table, tags
-    them; the best labels are found by Viterbi in numpy batches. Texts are split in the JVM, whole; pieces are scored
-    once for each different piece of a batch, and only those near a digit, an at sign, a word like a name or two
-    capitalised words are decoded; a name of two new words in lower case is left out unless one of these is near.
-    Nothing is shuffled, so no row is hot.
+    them; the best labels are found by Viterbi in numpy batches. Texts are split in the JVM, whole; a piece's own features
+    are scored once for each different piece of a batch, and every piece is scored in its place and decoded, but for those
+    that are proved to lie outside (``crf.certainly_outside``). No list of words or shapes decides what is decoded; given
+    names and beginnings and ends of family names in the labels are features among others. Nothing is shuffled, so no row
+    is hot.
 
     ``found_text`` is the piece as it stands in the text. A piece that a field repeats counts once. Nulls: a null
     payload, field or ``delivery_seq`` gives no row. Repeated rows come out as often. An empty table gives no rows.
@@ -264,9 +273,10 @@ def redacted(events: DataFrame, labels: str | None = None) -> DataFrame:
                 ends = np.cumsum(lengths)
                 row = np.searchsorted(ends, first, "right")
                 texts = batch.column(name).to_pylist() if len(row) else batch.column(name)
-                for r in np.unique(row):
+                some, begins = np.unique(row, return_index=True)
+                for r, i, j in zip(some, begins, np.searchsorted(row, some, "right"), strict=True):
                     parts, at = [], ends[r] - lengths[r]
-                    for a, b, k in zip(first[row == r], end[row == r], kind[row == r], strict=True):
+                    for a, b, k in zip(first[i:j], end[i:j], kind[i:j], strict=True):
                         lead = strings[codes[a]]
                         parts += [strings[c] for c in codes[at:a]] + [lead[: len(lead) - len(lead.lstrip())], f"[{KINDS[k].upper()}]"]
                         at = b

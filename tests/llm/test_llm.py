@@ -63,6 +63,96 @@ def test_names_of_new_words_are_found(spark):
     assert sorted((r.delivery_seq, r.kind, r.found_text) for r in personal_info.personal_info(rows).collect()) == [(0, "name", "M. Rossi"), (1, "name", "Ingrid Weber")]
 
 
+UNSEEN = [
+    ("Wilhelmina Oduya asked for a second review of the parser.", ["name|Wilhelmina Oduya"]),
+    ("The ticket was closed by Ignatius Thackeray yesterday.", ["name|Ignatius Thackeray"]),
+    ("cc Siobhan O'Rourke and Kwame Nkrumah-Boateng", ["name|Siobhan O'Rourke", "name|Kwame Nkrumah-Boateng"]),
+    ("Author: Dmitri Volkonsky <dmitri.volkonsky@kremlinpost.ru>", ["name|Dmitri Volkonsky", "email|dmitri.volkonsky@kremlinpost.ru"]),
+    ("Priya Raghunathan said the limit is wrong", ["name|Priya Raghunathan"]),
+    ("please write to john.smith@corp-mail.co.uk or alice_b@staatsarchiv.edu", ["email|john.smith@corp-mail.co.uk", "email|alice_b@staatsarchiv.edu"]),
+    ("forwarded from <bjorn.angstrom@kth-labs.se>: the job is red", ["email|bjorn.angstrom@kth-labs.se"]),
+    ("Mail an m.mueller@werkstatt-nord.at reicht.", ["email|m.mueller@werkstatt-nord.at"]),
+    ("ring 212-555-0187 or 030 1234567 after lunch", ["phone|212-555-0187", "phone|030 1234567"]),
+    ("abita in via Garibaldi 18 da marzo", ["address|via Garibaldi 18"]),
+    ("ship it to 42 Elm Street, Springfield by Friday", ["address|42 Elm Street"]),
+    ("Adresse: Hauptstraße 12", ["address|Hauptstraße 12"]),
+    ("spedire a via Roma 5 entro lunedì", ["address|via Roma 5"]),
+    ("The courier went to 1187 Pemberton Terrace instead", ["address|1187 Pemberton Terrace"]),
+    ("Thanks,\nRosalind Featherstone\n+61 2 9374 4000", ["name|Rosalind Featherstone", "phone|+61 2 9374 4000"]),
+    ("user: Tadashi Morinaga, phone +81 3 1234 5678", ["name|Tadashi Morinaga", "phone|+81 3 1234 5678"]),
+    ("contact_phone=+41 44 668 18 00 contact_name=\"Ueli Zurbriggen\"", ["phone|+41 44 668 18 00", "name|Ueli Zurbriggen"]),
+    ("{\"name\":\"Xiomara Quintanilla\",\"phone\":\"(787) 555-0142\"}", ["name|Xiomara Quintanilla", "phone|(787) 555-0142"]),
+    ("moved from 9 Wisteria Close to 310 Juniper Boulevard last month", ["address|9 Wisteria Close", "address|310 Juniper Boulevard"]),
+    ("Frau Liselotte Pfannenschmidt wohnt in der Kastanienallee 77", ["name|Liselotte Pfannenschmidt", "address|Kastanienallee 77"]),
+    ("il sig. Ermenegildo Zaccagnini aspetta in piazza Bernini, 4", ["name|Ermenegildo Zaccagnini", "address|piazza Bernini, 4"]),
+    ("deliver to\nGulnara Iskakova\nFlat 6, 28 Harrowgate Road\nDundee", ["name|Gulnara Iskakova", "address|Flat 6, 28 Harrowgate Road"]),
+    ("Signed-off-by: Thelonious Abernathy <t.abernathy@jazzclub.fm>", ["name|Thelonious Abernathy", "email|t.abernathy@jazzclub.fm"]),
+    ("reported by Ngozi Chukwuemeka (ngozi_c@lagosweb.ng)", ["name|Ngozi Chukwuemeka", "email|ngozi_c@lagosweb.ng"]),
+    ("Reviewed-by: Bartholomew Quigley", ["name|Bartholomew Quigley"]),
+    ("according to Svetlana Rozhdestvenskaya the rollout is frozen", ["name|Svetlana Rozhdestvenskaya"]),
+    ("Please loop in Caoimhe Fitzsimmons before the merge.", ["name|Caoimhe Fitzsimmons"]),
+    ("meeting with Ms Oluwaseun Adebayo at nine, bring 523-44-7781", ["name|Oluwaseun Adebayo", "id_number|523-44-7781"]),
+    ("expected 'Anneliese Vandenberghe' but got 'T. Vandenberghe'", ["name|Anneliese Vandenberghe", "name|T. Vandenberghe"]),
+    ("SSN: 601 22 9084", ["id_number|601 22 9084"]),
+    ("codice fiscale RSSMRA85T10A562S", ["id_number|RSSMRA85T10A562S"]),
+    ("Owner Percival Hargreaves / 0161 496 0733 / percival@hargreaves-sons.ie", ["name|Percival Hargreaves", "phone|0161 496 0733", "email|percival@hargreaves-sons.ie"]),
+    ("call +351 21 780 3000 now", ["phone|+351 21 780 3000"]),
+    ("phone: 604.555.0163", ["phone|604.555.0163"]),
+    ("Rückruf unter 0911 447120.", ["phone|0911 447120"]),
+    ("chiamami al 349 8812345", ["phone|349 8812345"]),
+    ("From: k.yilmaz@ankara-bt.com.tr\nTo: helpdesk.two@citymuseum.museum", ["email|k.yilmaz@ankara-bt.com.tr", "email|helpdesk.two@citymuseum.museum"]),
+    ("geliefert an Eichendorffstr. 31", ["address|Eichendorffstr. 31"]),
+    ("office at 77 Copenhagen Wharf Lane is closed", ["address|77 Copenhagen Wharf Lane"]),
+    ("12, rue Saint-Honoré", ["address|12, rue Saint-Honoré"]),
+    ("Mr. Cornelius Blackwood rejects the proposal", ["name|Cornelius Blackwood"]),
+    ("der Kunde Reinhold Mitterlehner hat angerufen", ["name|Reinhold Mitterlehner"]),
+    ("national id 71 205 338 946 from the import", ["id_number|71 205 338 946"]),
+    ("- Philippa Ravensdale: 01865 270000", ["name|Philippa Ravensdale", "phone|01865 270000"]),
+    ("the build 2031.44 of module Quartz Lantern failed at step 12", []),
+    ("Merge Conflict Resolver returns 4102 rows in src/app/Main.java", []),
+    ("Thursday Evening sync: Roadmap Planning and Budget Review", []),
+    ("Der Rechner zeigt das Diagramm unter hohen Lasten", []),
+    ("npm install left-pad@1.3.0 && git clone git@codeberg.org:foo/bar.git", []),
+    ("Il Consiglio approva la Relazione Annuale senza modifiche", []),
+    ("order 7781-22-9901 shipped, trace 9910284477 ok", []),
+    ("Kubernetes Ingress Controller drops the Connection Pool", []),
+]
+
+
+def _tagged(texts, types):
+    """The pieces found in each text: ``(text, kind, piece)``."""
+    import pyarrow as pa
+
+    tokens = [crf.pieces(t) for t in texts]
+    first, end, kind, strings, codes = personal_info.found_spans(pa.array(tokens), types)
+    rows = np.searchsorted(np.cumsum([len(t) for t in tokens]), first, "right")
+    return {(int(r), personal_info.KINDS[k], "".join(strings[c] for c in codes[a:b]).strip()) for r, a, b, k in zip(rows, first, end, kind, strict=True)}
+
+
+def test_unseen_names_domains_streets_and_numbers():
+    """Names, domains, streets and groupings of which no labelled line has the words."""
+    given = {w.lower() for _, spans in UNSEEN for s in spans if s.startswith("name") for w in words(s[5:]) if len(w) > 1}
+    known = {w for text, spans in personal_info.labelled_examples() for a, b, k in spans if k == "name" for w in words(text[a:b])}
+    assert len(given & known) <= 2
+    got = _tagged([t for t, _ in UNSEEN], personal_info._Types(personal_info.trained_tagger()))
+    want = {(i, *s.split("|")) for i, (_, spans) in enumerate(UNSEEN) for s in spans}
+    emails = {s for i, kind, s in want if kind == "email"}
+    assert emails <= {s for _, _, s in got}  # none is cut
+    assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.93
+
+
+def test_nothing_but_what_is_certain_is_left_out_of_decoding():
+    """The pieces that are not decoded are outside in the best path over all pieces."""
+    types = personal_info._Types(personal_info.trained_tagger())
+    texts = [t for t, _ in personal_info.labelled_examples()[:400]] + [t for t, _ in UNSEEN]
+    short, kept = _tagged(texts, types), personal_info.certainly_outside
+    try:
+        personal_info.certainly_outside = lambda scores, last, moves: np.zeros(len(scores), bool)
+        assert _tagged(texts, types) == short
+    finally:
+        personal_info.certainly_outside = kept
+
+
 def test_pieces_join_to_the_text():
     for text in ["", " \t\n", "a1２é́😀 x\r\n", "  lead", "trail  "]:
         assert "".join(crf.pieces(text)) == text
