@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.metrics import running_sum
 from eventloom.session import cut, written
 
 #: Places of a log in one range, and functions composed at once in the reduction of items.
@@ -67,47 +68,67 @@ def _range_functions(part: DataFrame) -> DataFrame:
 
 def _compose_pairs(level: DataFrame) -> DataFrame:
     """Compose neighbouring nodes; a join on store, parent and version spreads even a hot store."""
-    parent = F.floor(F.col("node") / 2).alias("node")
-    left = level.where("node % 2 = 0").select("store_id", parent, "v_in", F.col("v_out").alias("mid"))
-    right = level.where("node % 2 = 1").select("store_id", parent, F.col("v_in").alias("mid"), F.col("v_out").alias("v_end"), F.lit(True).alias("hit"))
-    through = left.join(right, ["store_id", "node", "mid"], "left").select(
-        "store_id", "node", "v_in", F.when(F.col("hit"), F.col("v_end")).otherwise(F.col("mid")).alias("v_out")
+    parent = F.shiftright("node", 1).alias("node")
+    left = level.where("node % 2 = 0").select("store_id", parent, "v_in", F.col("v_out").alias("mid"), "last")
+    right = level.where("node % 2 = 1").select("store_id", parent, F.col("v_in").alias("mid"), F.col("v_out").alias("v_end"), "last", F.lit(True).alias("hit"))
+    through = left.join(right.drop("last"), ["store_id", "node", "mid"], "left").select(
+        "store_id", "node", "v_in", F.when(F.col("hit"), F.col("v_end")).otherwise(F.col("mid")).alias("v_out"), "last"
     )
     passed = right.join(left.select("store_id", "node", F.col("v_in").alias("mid")), ["store_id", "node", "mid"], "left_anti")
-    return through.unionByName(passed.select("store_id", "node", F.col("mid").alias("v_in"), F.col("v_end").alias("v_out")))
-
-
-def _entry_versions(log: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The version reached before each range of the stores with several ranges: ``(store_id, node, entry)``."""
-    many = log.join(sizes.where("last > 0"), "store_id").select("store_id", "node", "seq", "base", "new")
-    depth = int(sizes.agg(F.max("last")).first()[0] or 0).bit_length()
-    levels = [cut(_range_functions(many))] if depth else []
-    for _ in range(depth - 1):
-        levels.append(cut(_compose_pairs(levels[-1])))
-    entry = sizes.where("last > 0").select("store_id", F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("entry"))
-    for level in reversed(levels):
+    return through.unionByName(passed.select("store_id", "node", F.col("mid").alias("v_in"), F.col("v_end").alias("v_out"), "last"))
+
+
+def numbered_ranges(log: DataFrame) -> DataFrame:
+    """The ranges that the logs have, numbered without gaps in each store: ``store_id, part, node, last``.
+
+    ``part`` is the place of the range among all that ``seq`` could have, ``node`` counts those that exist from 0, and
+    ``last`` is the highest node of the store. Gaps in ``seq`` and longer logs of other stores add no rows.
+    """
+    parts = log.select("store_id", "part").distinct().withColumn("one", F.lit(1).cast("bigint"))
+    numbered = cut(running_sum(parts, "store_id", "part", "one", "node", RANGE).select("store_id", "part", (F.col("node") - 1).alias("node")))
+    return cut(numbered.join(numbered.groupBy("store_id").agg(F.max("node").alias("last")), "store_id"))
+
+
+def _entry_versions(log: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The version reached before each range of the stores with several ranges: ``(store_id, part, entry)``.
+
+    Functions are composed up the tree of each store, up to its own height and no further, and entry versions are handed
+    down from its root to the ranges that exist, so every level has at most a row for each range.
+    """
+    several = ranges.where("last > 0")
+    depth = int(several.agg(F.max("last")).first()[0] or 0).bit_length()
+    if not depth:
+        return several.select("store_id", "part", F.lit(0).cast("bigint").alias("entry"))
+    many = log.select("store_id", "part", "seq", "base", "new").join(several, ["store_id", "part"])
+    tops = several.select("store_id", "last").distinct()
+    levels = [cut(_range_functions(many).join(tops, "store_id"))]
+    for k in range(1, depth):
+        levels.append(cut(_compose_pairs(levels[-1]).where(F.shiftright("last", k) > 0)))
+    entry = None
+    for k in reversed(range(depth)):
+        # A store's root is one level above its highest node; its version before all is 0.
+        root = tops.where((F.shiftright("last", k) == 1)).select("store_id", F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("entry"), "last")
+        entry = root if entry is None else entry.unionByName(root)
         # The left child starts where its parent does, the right one where the left one ends.
-        step = level.where("node % 2 = 0").select("store_id", "node", F.col("v_in").alias("entry"), "v_out", F.lit(True).alias("hit"))
-        left = entry.select("store_id", (F.col("node") * 2).alias("node"), "entry")
-        right = left.join(step, ["store_id", "node", "entry"], "left").select(
-            "store_id", (F.col("node") + 1).alias("node"), F.when(F.col("hit"), F.col("v_out")).otherwise(F.col("entry")).alias("entry")
+        step = levels[k].where("node % 2 = 0").select("store_id", "node", F.col("v_in").alias("entry"), "v_out", F.lit(True).alias("hit"))
+        left = entry.select("store_id", (F.col("node") * 2).alias("node"), "entry", "last")
+        right = left.where(F.col("node") < F.shiftright("last", k)).join(step, ["store_id", "node", "entry"], "left").select(
+            "store_id", (F.col("node") + 1).alias("node"), F.when(F.col("hit"), F.col("v_out")).otherwise(F.col("entry")).alias("entry"), "last"
         )
         entry = cut(left.unionByName(right))
-    return entry
+    return entry.join(several.select("store_id", "node", "part"), ["store_id", "node"]).select("store_id", "part", "entry")
 
 
 def accepted_patches(log: DataFrame, size: int = RANGE) -> DataFrame:
     """The patches of ``log`` whose base is the version reached, as ``store_id, seq, new, body``."""
-    log = log.withColumn("node", F.floor(F.col("seq") / size))
-    first = log.groupBy("store_id").agg(F.min("node").alias("first"), F.max("node").alias("top"))
-    sizes = cut(first.select("store_id", "first", (F.col("top") - F.col("first")).alias("last")))
-    log = log.join(sizes.select("store_id", "first"), "store_id").withColumn("node", F.col("node") - F.col("first")).drop("first")
-    entry = _entry_versions(log, sizes)
-    ranges = log.groupBy("store_id", "node").agg(F.array_sort(F.collect_list(F.struct("seq", "base", "new", "body"))).alias("run"))
-    ranges = ranges.join(entry, ["store_id", "node"], "left").join(
-        sizes.where("last = 0").select("store_id", F.lit(True).alias("single")), "store_id", "left"
-    )
-    start = F.when(F.col("single"), F.lit(0).cast("bigint")).otherwise(F.col("entry"))
+    log = log.withColumn("part", F.floor(F.col("seq") / size))
+    ranges = numbered_ranges(log)
+    entry = _entry_versions(log, ranges)
+    runs = log.groupBy("store_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "base", "new", "body"))).alias("run"))
+    # A store with one range starts at version 0; a null entry of any other fits no base.
+    starts = entry.select("store_id", "part", "entry", F.lit(True).alias("later"))
+    runs = runs.join(starts, ["store_id", "part"], "left")
+    start = F.when(F.col("later"), F.col("entry")).otherwise(F.lit(0).cast("bigint"))
     walked = F.aggregate(
         F.transform("run", lambda p: F.struct(p["seq"].alias("seq"), p["base"].alias("base"), p["new"].alias("new"))),
         F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("kept")),
@@ -118,7 +139,7 @@ def accepted_patches(log: DataFrame, size: int = RANGE) -> DataFrame:
         lambda acc: acc["kept"],
     )
     return (
-        ranges.select("store_id", "run", walked.alias("kept"))
+        runs.select("store_id", "run", walked.alias("kept"))
         .select("store_id", F.explode(F.filter("run", lambda p: F.array_contains("kept", p["seq"]))).alias("p"))
         .select("store_id", "p.seq", "p.new", "p.body")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.components import connected_components
 from eventloom.operators.dedupe import QuotientTable, kept_events, quotient_key, repeated_deliveries
-from eventloom.operators.patches import current_items
+from eventloom.operators.patches import current_items, numbered_ranges, ordered_log
 
 EVENTS = "delivery_seq bigint, id string, session_id string, dedupe_hash string, component string"
 
@@ -172,3 +172,15 @@ def test_hot_item(spark):
     rows = [("p", "s", i + 1, i, i + 1, None, "x", _patch(add=[("hot", None, None, None)] if i == 0 else None, update=[("hot", None, "low")])) for i in range(600)]
     got = current_items(spark.createDataFrame(rows, PATCHES), 16, 4).collect()
     assert got == [Row(store_id="s", item_id="hot", status="active", importance="low", version=600)]
+
+
+def test_gaps_and_small_stores_add_no_ranges(spark):
+    """A log with a gap of a billion places beside a thousand short ones: as many ranges as there are."""
+    rows = [("p", "wide", 1, 0, 1, None, "x", _patch(add=[("i", None, None, None)])), ("p", "wide", 10**9, 1, 2, None, "x", _patch(update=[("i", None, "low")]))]
+    for k in range(1000):
+        rows += [("p", f"s{k}", seq, seq // 300, seq // 300 + 1, None, "x", _patch(add=[(f"i{seq}", None, None, None)])) for seq in (1, 300, 600)[: 1 + k % 3]]
+    patches = spark.createDataFrame(rows, PATCHES)
+    ranges = numbered_ranges(ordered_log(patches).withColumn("part", F.floor(F.col("seq") / 256)))
+    assert ranges.count() == len({(r[1], r[2] // 256) for r in rows})
+    got = current_items(patches).collect()
+    assert {(r.store_id, r.item_id): (r.status, r.importance, r.version) for r in got} == _applied(rows)
