@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventloom.session import cut
@@ -41,12 +41,14 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    state, edges = None, cut(edges)
+    state = None
     for _ in range(max_rounds):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
+        seen = Observation()
+        edges = cut(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+        now = seen.get
+        if now == state or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        state, edges = now, cut(_small_star(_large_star(edges)))
+        state, edges = now, _small_star(_large_star(edges))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,90 +15,119 @@ from eventloom.session import written
 
 #: Bits of the permuted identifier that name its shard; the rest is the remainder.
 QUOTIENT_BITS = 16
-_HEAD_BITS = 56
+#: Characters in the half of the identifier that is mixed, and bits of each.
+_HEAD, _WIDE = 3, 21
+_REST_BITS = _HEAD * _WIDE - QUOTIENT_BITS
 
 
 def quotient_key(identifier: Column) -> Column:
     """The identifier, permuted: ``struct(quotient, rest, tail)``; null for a null identifier.
 
-    The first seven bytes are one half of a Feistel round, the length and all further bytes the other. The first half
-    is mixed with a hash of the second one, which stays as it is, so the round can be undone and two identifiers have
-    the same key only if they are equal: no false matches at any length. ``quotient`` is the shard, ``rest`` and
-    ``tail`` are the complete remainder that the shard stores.
+    The first three characters, as 63 bits, are one half of a Feistel round, the length in bytes and all further
+    characters the other. The first half is mixed with a hash of the second one, which stays as it is, so the round can
+    be undone and two identifiers have the same key only if they are equal: no false matches at any length. ``quotient``
+    is the shard, ``rest`` and ``tail`` are the complete remainder that the shard stores.
     """
-    raw = F.encode(identifier, "utf-8")
-    head = F.conv(F.hex(F.substring(F.rpad(raw, 7, F.lit(b"\0")), 1, 7)), 16, 10).cast("bigint")
-    tail = F.concat(
-        F.encode(F.octet_length(raw).cast("string"), "utf-8"), F.lit(b":"), raw.substr(F.lit(8), F.octet_length(raw))
-    )
-    mixed = head.bitwiseXOR(F.shiftrightunsigned(F.xxhash64(tail), 64 - _HEAD_BITS))
-    low = _HEAD_BITS - QUOTIENT_BITS
+    code = lambda k: F.ascii(identifier.substr(F.lit(k + 1), F.lit(1))).cast("bigint")
+    head = code(0)
+    for k in range(1, _HEAD):
+        head = F.shiftleft(head, _WIDE).bitwiseOR(code(k))
+    tail = F.concat(F.octet_length(identifier).cast("string"), F.lit(":"), identifier.substr(F.lit(_HEAD + 1), F.length(identifier)))
+    mixed = head.bitwiseXOR(F.shiftrightunsigned(F.xxhash64(tail), 64 - _HEAD * _WIDE))
     return F.when(
         identifier.isNotNull(),
         F.struct(
-            F.shiftright(mixed, low).cast("int").alias("quotient"),
-            mixed.bitwiseAND(F.lit((1 << low) - 1)).alias("rest"),
+            F.shiftright(mixed, _REST_BITS).cast("int").alias("quotient"),
+            mixed.bitwiseAND(F.lit((1 << _REST_BITS) - 1)).alias("rest"),
             tail.alias("tail"),
         ),
     )
 
 
 def event_keys(events: DataFrame) -> DataFrame:
-    """``(delivery_seq, by_id, by_hash)``: the two permuted identifiers by which a delivery is recognised.
+    """``(delivery_seq, quotient, rest, tail)``: the permuted identifiers by which a delivery is recognised, a row each.
 
-    ``by_id`` is the id without outer blanks and letter case. ``by_hash`` is the session with its non-empty
-    ``dedupe_hash``, null if either is missing; the session's length goes first, so that no two pairs run together.
+    One is the id without outer blanks and letter case, after an ``i``; the other the session with its non-empty
+    ``dedupe_hash``, after an ``h`` and the session's length, so that no two pairs run together.
     """
     session, digest = F.col("session_id"), F.col("dedupe_hash")
-    pair = F.when(
-        digest != "", F.concat(F.length(session).cast("string"), F.lit(":"), session, digest)
-    )
-    return events.where("delivery_seq IS NOT NULL").select(
-        "delivery_seq",
-        quotient_key(F.lower(F.btrim("id", F.lit(" \t\r\n")))).alias("by_id"),
-        quotient_key(pair).alias("by_hash"),
-    )
+    by_id = F.concat(F.lit("i"), F.lower(F.btrim("id", F.lit(" \t\r\n"))))
+    by_hash = F.when(digest != "", F.concat(F.lit("h"), F.length(session).cast("string"), F.lit(":"), session, digest))
+    named = events.where("delivery_seq IS NOT NULL").select("delivery_seq", F.explode(F.array(by_id, by_hash)).alias("name"))
+    return named.where("name IS NOT NULL").select("delivery_seq", quotient_key(F.col("name")).alias("k")).select("delivery_seq", "k.quotient", "k.rest", "k.tail")
+
 
+def _inserted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Insert remainders into a table: the first row of each different one, and ``(row, first row)`` of all others.
 
-def _links(groups: DataFrame, key: str) -> DataFrame:
-    """Links from each group to the first one with the same key."""
-    keyed = groups.where(F.col(key).isNotNull()).select(key, "first_seq")
-    shared = keyed.groupBy(key).agg(F.min("first_seq").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(shared.drop("n"), key).where("first_seq <> least").select("first_seq", "least")
+    Rows are compared by their whole remainder; of equal ones that with the least ``delivery_seq`` is first.
+    """
+    tail = rows.column("tail").combine_chunks().dictionary_encode().indices.to_numpy()
+    quotient, rest, seq = (rows.column(c).to_numpy() for c in ("quotient", "rest", "delivery_seq"))
+    order = np.lexsort((seq, tail, rest, quotient))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for column in (quotient[order], rest[order], tail[order]):
+        new[1:] |= column[1:] != column[:-1]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return order[new], order[~new], first[~new]
+
+
+_ENTRIES = "delivery_seq bigint, quotient int, rest bigint, tail string, first_seq bigint"
+
+
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch the different identifiers, and links of the rows that repeat one; so a hot identifier is sent once
+    a batch. A link has a ``first_seq`` and no remainder."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        kept, again, first = _inserted(rows)
+        seq = rows.column("delivery_seq").to_numpy()
+        entries = rows.take(pa.array(kept)).append_column("first_seq", pa.nulls(len(kept), pa.int64()))
+        links = pa.table([seq[again], rows.column("quotient").to_numpy()[again], pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.string()), seq[first]], entries.schema)
+        yield from pa.concat_tables([entries, links]).combine_chunks().to_batches()
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fill the shards of a task with the identifiers sent to them; gives the links of repeated ones to the first."""
+    batches = list(batches)
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches)
+    sent = rows.filter(rows.column("first_seq").is_valid()).select(["delivery_seq", "first_seq"])
+    rows = rows.filter(rows.column("tail").is_valid())
+    _, again, first = _inserted(rows)
+    seq = rows.column("delivery_seq").to_numpy()
+    found = pa.table([seq[again], seq[first]], names=["delivery_seq", "first_seq"])
+    for table in (sent, found):
+        yield from table.filter(pc.not_equal(table.column(0), table.column(1))).combine_chunks().to_batches()
+
+
+def repeat_links(events: DataFrame) -> DataFrame:
+    """Links ``(delivery_seq, first_seq)`` of each row that repeats an identifier to the first row that has it.
+
+    Every identifier goes to the shard that its quotient names and is inserted there once, by its complete remainder.
+    The repeats within one batch of a map task are linked before the shuffle, so an identifier that a third of all rows
+    have is sent once a batch. A task holds the shards of its quotients, which the permutation fills alike.
+    """
+    local = event_keys(events).mapInArrow(_collapsed, _ENTRIES)
+    return local.repartition(F.col("quotient")).mapInArrow(_shards, "delivery_seq bigint, first_seq bigint")
 
 
 def repeated_deliveries(events: DataFrame) -> DataFrame:
     """Every row of an event but its first delivery: ``(delivery_seq, event_seq)``.
 
     Two rows are one event if their normalised ids are equal or if session and non-empty hash are, along chains;
-    ``event_seq`` is the lowest ``delivery_seq`` of the event. Equal pairs of keys are first collapsed by a map-side
-    minimum, so a group of copies with a third of all rows is one row after it; each key then links its few different
-    pairs to the first one, and only linked pairs take part in the component search.
+    ``event_seq`` is the lowest ``delivery_seq`` of the event. Identifiers are inserted once into exact quotient tables
+    (``repeat_links``); each repeat links to the first row with its identifier, and only linked rows take part in the
+    component search along chains.
 
     Nulls: a null id, session or hash links nothing, a row with none of them is an event of its own; a row without
     ``delivery_seq`` is ignored. A blank id is an id like any other. Repeated rows with one ``delivery_seq`` count once.
     Empty input gives no rows. Extra columns are ignored, whatever their names.
     """
-    keys = event_keys(events)
-    keyed = keys.where("by_id IS NOT NULL OR by_hash IS NOT NULL")
-    groups = written(
-        keyed.groupBy("by_id", "by_hash").agg(F.min("delivery_seq").alias("first_seq"), F.count("*").alias("n")),
-        "dedupe-groups",
-    )
-    parts = connected_components(
-        _links(groups, "by_id").unionByName(_links(groups, "by_hash")), "first_seq", "least"
-    ).select(F.col("node").alias("first_seq"), "component")
-    labelled = groups.join(parts, "first_seq", "left").select(
-        "by_id", "by_hash", "first_seq", "n", F.coalesce("component", "first_seq").alias("event_seq")
-    )
-    alone = labelled.where("n = 1 AND first_seq <> event_seq").select(F.col("first_seq").alias("delivery_seq"), "event_seq")
-    many = labelled.where("n > 1").select(F.col("by_id").alias("i"), F.col("by_hash").alias("h"), "event_seq")
-    copies = (
-        keyed.join(many, F.col("by_id").eqNullSafe(F.col("i")) & F.col("by_hash").eqNullSafe(F.col("h")))
-        .where("delivery_seq <> event_seq")
-        .select("delivery_seq", "event_seq")
-    )
-    return copies.distinct().unionByName(alone)
+    parts = connected_components(repeat_links(events), "delivery_seq", "first_seq")
+    return parts.where("node <> component").select(F.col("node").alias("delivery_seq"), F.col("component").alias("event_seq"))
 
 
 def kept_events(events: DataFrame) -> DataFrame:
@@ -108,7 +142,7 @@ class QuotientTable:
     never false. A batch only reads the folders of its own quotients' groups.
     """
 
-    _KIND = "rest bigint, tail binary, quotient int, batch string, bucket int"
+    _KIND = "rest bigint, tail string, quotient int, batch string, bucket int"
 
     def __init__(self, spark, path: str, groups: int = 64):
         self.spark, self.path, self.groups = spark, path, groups
