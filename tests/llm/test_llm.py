@@ -209,6 +209,30 @@ def test_circulant_signatures_estimate_similarity():
     assert abs((signature[:, 0] == signature[:, 1]).mean() - 150 / 250) < 0.06
 
 
+def _template(n):
+    """Items of one phrase with changing numbers, which share their buckets without being equal, and a few far off it."""
+    base = " ".join(WORDS[:14])
+    rows = [(f"t{i:05}", "goals", f"{base} n{i} m{i % 7}", "x", 1) for i in range(n)]
+    return rows + [(f"u{i}", "goals", " ".join(WORDS[:11]) + f" u{i} v{i} w{i} x{i} y{i}", "x", 1) for i in range(4)]
+
+
+def test_hot_buckets_are_split_and_lose_no_pair(spark):
+    rows = _template(70)
+    items = spark.createDataFrame(rows, ITEMS)
+    sets = {r[0]: set(words(r[2])) for r in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    found = {tuple(r) for r in near_duplicates.similar_pairs(items, rows=2, bands=40, hot=16).collect()}
+    assert found == {tuple(r) for r in near_duplicates.similar_pairs(items, rows=2, bands=40).collect()} == want
+    groups = {r.id: r.group_id for r in near_duplicates.similar_groups(items, rows=2, bands=40, hot=16).collect()}
+    assert groups == {r.id: r.group_id for r in near_duplicates.similar_groups(items, rows=2, bands=40).collect()}
+    assert {groups[f"t{i:05}"] for i in range(70)} == {"t00000"}
+
+
+def test_one_template_in_many_items(spark):
+    groups = near_duplicates.similar_groups(spark.createDataFrame(_template(50_000), ITEMS), bands=12)
+    assert groups.where("group_id = 't00000'").count() == 50_000
+
+
 # --- conversations
 
 EVENTS = (
