@@ -74,6 +74,23 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, name: str, widt
     return rows.withColumn(name, inside).join(bases, [key, "_range"]).withColumn(name, F.col(name) + F.col("_base")).drop("_range", "_base")
 
 
+def running_last(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 100_000) -> DataFrame:
+    """``df`` with the last ``value`` that is not null over the rows of the same keys before each row, by the whole number
+    ``order``; null if there is none. Rows of one place are before each other in no defined order.
+
+    Each key is cut into ranges of ``order``, as in ``running_sum``: a hot key is spread over as many tasks as it has
+    ranges.
+    """
+    rows = df.withColumn("_range", F.floor(F.col(order) / width))
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_range").agg(F.max_by(value, order).alias("_end"))
+    every = rows.select(*keys, "_range").distinct().join(ends, [*keys, "_range"], "left")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = every.select(*keys, "_range", F.last("_end", ignorenulls=True).over(before).alias("_base"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn(name, F.last(value, ignorenulls=True).over(inside)).join(bases, [*keys, "_range"])
+    return found.withColumn(name, F.coalesce(name, "_base")).drop("_range", "_base")
+
+
 def latest(df: DataFrame, key: str, by: Column, *columns: str) -> DataFrame:
     """The values of the latest row of each key that is not null, column by column; a map-side maximum."""
     return df.groupBy(key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), by)).alias(c) for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.metrics import running_sum
+from eventloom.operators.metrics import running_last, running_sum
 
 #: Attempts that a success looks back, calls that may lie between repeats, and repeats that make a loop.
 LOOK_BACK, GAP, LEAST_REPEATS = 5, 15, 3
@@ -118,8 +118,13 @@ def stale_references(items: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def latest_notes(events: DataFrame, pairs: DataFrame, least: int = 20) -> DataFrame:
-    """The last long message of the assistant between the two ends of each recovery: ``failed_seq, note_seq``."""
+    """The last long message of the assistant between the two ends of each recovery: ``failed_seq, note_seq``.
+
+    Notes and recoveries are put in one order and the last note runs along over ranges of it, so no note is paired with
+    every recovery of its session.
+    """
     notes = events.where("type = 'ASSISTANT_MESSAGE' AND session_id IS NOT NULL").where(F.length("payload.text") >= least)
-    notes = notes.select(F.col("session_id").alias("s"), F.col("delivery_seq").alias("note_seq"))
-    between = (F.col("s") == F.col("session_id")) & (F.col("note_seq") > F.col("failed_seq")) & (F.col("note_seq") < F.col("fixed_seq"))
-    return pairs.join(notes, between).groupBy("failed_seq").agg(F.max("note_seq").alias("note_seq"))
+    notes = notes.select("session_id", F.col("delivery_seq").alias("at"), F.col("delivery_seq").alias("note_seq"), F.lit(None).cast("bigint").alias("failed_seq"))
+    ends = pairs.select("session_id", F.col("fixed_seq").alias("at"), F.lit(None).cast("bigint").alias("note_seq"), "failed_seq")
+    found = running_last(notes.unionByName(ends), ["session_id"], "at", "note_seq", "note").where("note > failed_seq")
+    return found.groupBy("failed_seq").agg(F.max("note").alias("note_seq"))

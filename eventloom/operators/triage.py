@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
+from eventloom.operators.metrics import running_last
 
 #: Characters from which the text of an assistant has substance, and from which a field is trimmed.
 SUBSTANCE = 150
@@ -86,5 +87,5 @@ def unchanged_files(events: DataFrame) -> DataFrame:
     """File changes that repeat the hash known for their path: ``(delivery_seq, path, content_hash)``, by delivery."""
     seen = events.where((F.col("type") == "FILE_CHANGED") & F.col("payload.path").isNotNull() & F.col("payload.content_hash").isNotNull())
     seen = seen.select("session_id", "delivery_seq", "payload.path", "payload.content_hash")
-    before = F.lag("content_hash").over(Window.partitionBy("session_id", "path").orderBy("delivery_seq"))
-    return seen.withColumn("before", before).where("before = content_hash").select("delivery_seq", "path", "content_hash")
+    seen = running_last(seen, ["session_id", "path"], "delivery_seq", "content_hash", "before")
+    return seen.where("before = content_hash").select("delivery_seq", "path", "content_hash")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
 from eventloom.operators import triage
+from eventloom.operators.metrics import newest_of_each
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +92,13 @@ def file_index(spark, sf_dir):
 
 
 def shed_queue(spark, sf_dir, cap: int = 3):
-    """Low and ephemeral queued or kept events of each session beyond the newest ``cap``."""
-    from pyspark.sql import Window
+    """Low and ephemeral queued or kept events of each session beyond the newest ``cap``.
 
-    low = triage.triaged(_events(spark, sf_dir)).where("action <> 'discard' AND rank <= 1 AND session_id IS NOT NULL")
-    newest = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("delivery_seq")))
-    return low.withColumn("newest", newest).where(F.col("newest") > cap).select("delivery_seq", "session_id")
+    The place of the last one that stays is found among the newest few of each map task; all before it are shed."""
+    low = triage.triaged(_events(spark, sf_dir)).where("action <> 'discard' AND rank <= 1 AND session_id IS NOT NULL").select("delivery_seq", "session_id")
+    newest = newest_of_each(low, "session_id", [F.desc("delivery_seq")], cap)
+    kept = newest.groupBy("session_id").agg(F.min("delivery_seq").alias("oldest"), F.count("*").alias("n")).where(F.col("n") == cap)
+    return low.join(kept, "session_id").where("delivery_seq < oldest").select("delivery_seq", "session_id")
 
 
 def _q(pattern: str) -> str:
