@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.components import connected_components
 from eventloom.operators.dedupe import repeated_deliveries
+from eventloom.operators.metrics import running_last
 from eventloom.session import cut, written
 
 #: The event types that are messages, and their roles.
@@ -14,11 +15,12 @@ ROLES = {"USER_MESSAGE": "user", "ASSISTANT_MESSAGE": "assistant"}
 #: Messages from which a conversation is ordered in several ranges of places, and how many ranges.
 LONG = 100_000
 RANGES = 256
+#: Words that a quoted line must have, and hours that may lie between it and the message that says it.
+QUOTED_WORDS, QUOTE_HOURS = 3, 24
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """The messages with text among the kept events: ``delivery_seq, session_id, ordinal, ts, role``, and the hash of
-    their text and of the lines they quote, for those without a session."""
+    """The messages with text among the kept events: ``delivery_seq, session_id, ordinal, ts, role``."""
     spoken = events.where(F.col("type").isin(*ROLES) & F.col("payload.text").rlike(r"[\p{L}\p{N}]"))
     role = F.when(F.col("type") == "USER_MESSAGE", ROLES["USER_MESSAGE"]).otherwise(ROLES["ASSISTANT_MESSAGE"])
     rows = spoken.select("delivery_seq", "session_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), role.alias("role"))
@@ -26,22 +28,29 @@ def messages(events: DataFrame) -> DataFrame:
 
 
 def reply_and_quote_links(events: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` of messages without a session: to the message whose tool use or task they share (a reply), and
-    to those whose line they quote after ``>``.
+    """Links ``(a, b)`` of messages without a session: to the messages that share their tool use (a reply), with or without
+    a session, and to the one whose line they quote after ``>``.
 
-    A tool use or task links each of its messages to the first of them, and a quoted line to the first message that
-    has it, so no two groups are paired in full.
+    A tool use links each of its messages to the first of them. A quoted line of at least ``QUOTED_WORDS`` words links to
+    the last message delivered before that says it, or else to the first one after, if their times, where both have one,
+    are at most ``QUOTE_HOURS`` apart. So no two groups are paired in full, and short lines that many say link nothing.
     """
     spoken = events.where(F.col("type").isin(*ROLES) & F.col("payload.text").isNotNull() & F.col("delivery_seq").isNotNull())
-    lines = spoken.select("delivery_seq", "session_id", F.explode(F.split("payload.text", r"\r?\n")).alias("line"))
-    quoted = lines.where("session_id IS NULL AND line LIKE '>%'").select("delivery_seq", F.trim(F.regexp_replace("line", "^[> ]+", "")).alias("said"))
-    said = lines.where("line NOT LIKE '>%'").select("delivery_seq", F.trim("line").alias("said"))
-    quoted = quoted.where("said <> ''")
-    first = said.join(quoted.select("said").distinct(), "said", "left_semi").groupBy("said").agg(F.min("delivery_seq").alias("b"))
-    quotes = quoted.join(first, "said").select(F.col("delivery_seq").alias("a"), "b")
-    keyed = spoken.where("session_id IS NULL").select("delivery_seq", F.explode(F.array("payload.tool_use_id", "payload.task")).alias("key")).where("key <> ''")
-    least = keyed.groupBy("key").agg(F.min("delivery_seq").alias("b"))
-    return quotes.unionByName(keyed.join(least, "key").select(F.col("delivery_seq").alias("a"), "b")).where("a <> b")
+    keyed = spoken.where("payload.tool_use_id <> ''").select("delivery_seq", F.col("payload.tool_use_id").alias("key"), F.col("session_id").isNull().alias("bare"))
+    least = keyed.groupBy("key").agg(F.min("delivery_seq").alias("b"), F.max("bare").alias("bare")).where("bare").drop("bare")
+    replies = keyed.join(least, "key").select(F.col("delivery_seq").alias("a"), "b")
+    lines = spoken.select("delivery_seq", "session_id", "ts", F.explode(F.split("payload.text", r"\r?\n")).alias("line"))
+    lines = lines.select("delivery_seq", "session_id", F.struct("delivery_seq", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")).alias("said_by"), F.col("line").startswith(">").alias("quotes"),
+                         F.trim(F.regexp_replace("line", "^[> ]+", "")).alias("said"))
+    lines = lines.where(F.size(F.regexp_extract_all("said", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= QUOTED_WORDS)
+    quoted = lines.where("quotes AND session_id IS NULL").select("delivery_seq", "said", F.col("said_by").alias("quoted_by"))
+    said = lines.where("NOT quotes").join(quoted.select("said").distinct(), "said", "left_semi").select("delivery_seq", "said", "said_by")
+    line = said.withColumn("quoted_by", F.lit(None).cast(quoted.schema["quoted_by"].dataType)).unionByName(quoted.withColumn("said_by", F.lit(None).cast(said.schema["said_by"].dataType)))
+    line = running_last(line, ["said"], "delivery_seq", "said_by", "earlier").withColumn("back", -F.col("delivery_seq"))
+    met = running_last(line, ["said"], "back", "said_by", "later").where("quoted_by IS NOT NULL").select("quoted_by", F.coalesce("earlier", "later").alias("said_by"))
+    near = F.coalesce(F.abs(F.col("quoted_by.at") - F.col("said_by.at")) <= QUOTE_HOURS * 3600, F.lit(True))
+    quotes = met.where(near).select(F.col("quoted_by.delivery_seq").alias("a"), F.col("said_by.delivery_seq").alias("b"))
+    return quotes.unionByName(replies).where("a <> b")
 
 
 def with_conversations(rows: DataFrame, events: DataFrame) -> DataFrame:

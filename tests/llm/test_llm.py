@@ -1,5 +1,6 @@
 """The training-text operators: brute force, round trips, held-out accuracy and edge cases."""
 
+import datetime
 import os
 import random
 
@@ -274,6 +275,31 @@ def test_conversations_without_session(spark):
     assert got == [("conversation:1", 1, "user", 1), ("conversation:1", 2, "assistant", 2), ("s1", 1, "user", 20), ("s1", 2, "assistant", 30)]
 
 
+def test_links_of_messages_without_session(spark):
+    """True and false reply and quote links beside messages that have a session."""
+    use = lambda text, key: (text, key, None)
+    event = lambda seq, session, place, kind, payload, ts=None: (seq, f"e{seq}", session, place, ts, kind, None, payload, "x", 9)
+    when = lambda hour: datetime.datetime(2026, 1, 1 + hour // 24, hour % 24)
+    rows = [
+        event(1, "s1", 0, "USER_MESSAGE", use("run the tests", "t1"), when(0)), event(2, None, 1, "ASSISTANT_MESSAGE", use("done with t1", "t1")),  # a reply into a session
+        event(3, "s2", 0, "USER_MESSAGE", use("ok", None)), event(4, None, 1, "ASSISTANT_MESSAGE", use("> ok\nwhat now", None)),  # too short to be a link
+        event(5, None, 0, "USER_MESSAGE", use("please check the parser", None), when(1)), event(6, None, 1, "ASSISTANT_MESSAGE", use("> please check the parser\nit holds", None), when(2)),
+        event(7, "s3", 0, "USER_MESSAGE", use("please check the parser", None), when(99)),  # the same line elsewhere, later
+        event(8, None, 1, "ASSISTANT_MESSAGE", use("> run the tests\nlong ago", None), when(90)), event(9, "s4", 0, "USER_MESSAGE", use("run the tests", None), when(9)),  # a day apart
+    ]
+    events = spark.createDataFrame(rows, EVENTS)
+    links = {tuple(sorted(r)) for r in conversations.reply_and_quote_links(events).collect()}
+    assert links == {(1, 2), (5, 6)}
+
+
+def test_long_conversations_are_as_short_ones(spark):
+    """Ordering in ranges gives the same at the border and on either side of it."""
+    rows = _talk([("u" if i % 2 == 0 else "a", f"t{i}", None) for i in range(8)], "even", 100) + _talk([("u", "x", None), ("a", "y", None), ("u", "z", None)], "odd", 200)
+    events = spark.createDataFrame(rows, EVENTS)
+    every = [sorted(tuple(r) for r in conversations.conversations(events, long, 3).collect()) for long in (7, 8, 100_000)]
+    assert every[0] == every[1] == every[2] and len(every[0]) == 8
+
+
 def test_no_conversations(spark):
     assert conversations.conversations(spark.createDataFrame([], EVENTS)).count() == 0
 
