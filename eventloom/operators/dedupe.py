@@ -139,7 +139,8 @@ class QuotientTable:
     """A table of identifiers in the shared folder, in folders by batch and group of quotients.
 
     ``insert`` adds the identifiers that are not held and returns them. The remainders are stored whole, so a match is
-    never false. A batch only reads the folders of its own quotients' groups.
+    never false. A batch is joined with all identifiers held, a shuffle of the table; a stream without end that repeats only
+    what is recent should take ``streaming.pipelines.distinct_hashes``, whose state is bounded.
     """
 
     _KIND = "rest bigint, tail string, quotient int, batch string, bucket int"

@@ -153,18 +153,30 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return best.join(seeds.select("id"), "id", "left_anti")
 
 
-def packed(rows: DataFrame, group: str, order: list[Column], cost: str, budget: int, most: int) -> DataFrame:
-    """Greedy packing: in the given order take each row that still fits the group's budget, and skip those that do not.
-
-    Only the first ``most`` rows of a group take part, so a group is a short list."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    first = rows.withColumn("rank", rank).where(F.col("rank") <= most)
-    lists = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "id", cost))).alias("run"))
-    kept = F.aggregate(
+def packed(rows: DataFrame, group: str, order: list[Column], cost: str, budget: int) -> DataFrame:
+    """Greedy packing: in the given order take each row that still fits the group's budget, and skip those that do not:
+    ``(group, used, place, id)``. ``order`` are columns whose ascending order counts, such as a negative rank.
+
+    Once a row of some cost does not fit, none of that cost fits later. So of each cost c only the first ``budget / c`` rows
+    can be taken, and a group of any size is decided by a list of at most ``budget`` times its logarithm; the rank by
+    group and cost is cut to ``budget`` before any shuffle. Rows without cost are always taken; rows with a null cost or
+    group are left out.
+    """
+    keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
+    one = rows.where(F.col(group).isNotNull()).select(group, F.col(cost).cast("bigint").alias("c"), F.struct(*keys, "id", F.col(cost).cast("bigint").alias("cost")).alias("x"))
+    rank = F.row_number().over(Window.partitionBy(group, "c").orderBy("x"))
+    paid = one.where((F.col("c") > 0) & (F.col("c") <= budget)).withColumn("rank", rank).where(F.col("rank") <= budget).where(F.col("rank") * F.col("c") <= budget)
+    lists = paid.groupBy(group).agg(F.array_sort(F.collect_list("x")).alias("run"))
+    taken = F.aggregate(
         "run",
-        F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("ids")),
+        F.struct(F.lit(0).cast("bigint").alias("used"), F.filter("run", lambda x: F.lit(False)).alias("kept")),
         lambda a, x: F.when(
-            a["used"] + x[cost] <= budget, F.struct((a["used"] + x[cost]).alias("used"), F.array_append(a["ids"], x["id"]).alias("ids"))
+            a["used"] + x["cost"] <= budget, F.struct((a["used"] + x["cost"]).alias("used"), F.array_append(a["kept"], x).alias("kept"))
         ).otherwise(a),
     )
-    return lists.select(group, kept.alias("k")).select(group, "k.used", F.posexplode("k.ids").alias("place", "id"))
+    decided = lists.select(group, taken.alias("t"))
+    every = decided.select(group, F.explode("t.kept").alias("x")).unionByName(one.where("c = 0").select(group, "x"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("x")) - 1
+    return every.withColumn("place", place).join(decided.select(group, "t.used"), group, "left").select(
+        group, F.coalesce("used", F.lit(0).cast("bigint")).alias("used"), "place", F.col("x.id").alias("id")
+    )

@@ -18,9 +18,10 @@ COMPARABLE = (
 )
 NEGATED = T.any_word("not", "never", "no longer", "don'?t", "does ?n'?t", "avoid", "stop", "without", "non", "mai", "senza", "evitare")
 NO_SUBJECT = (
-    "must should always never need needs used using with from into this that them they when where while only also more than then each every "
-    "have been will would shall does deve devono sempre anche come quando tutti tutte essere"
-).split()
+    "must", "should", "always", "never", "need", "needs", "used", "using", "with", "from", "into", "this", "that", "them", "they", "when", "where",
+    "while", "only", "also", "more", "than", "then", "each", "every", "have", "been", "will", "would", "shall", "does", "deve", "devono", "sempre",
+    "anche", "come", "quando", "tutti", "tutte", "essere",
+)
 
 
 def jaccard_pairs(rows: DataFrame, threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
@@ -36,18 +36,19 @@ def always_shown(least_confidence: float) -> Column:
     return ~F.coalesce(closed(), F.lit(False)) & F.coalesce(sure, F.lit(False))
 
 
-def final_successors(items: DataFrame, rounds: int = 40) -> DataFrame:
+def final_successors(items: DataFrame) -> DataFrame:
     """The last item that each superseded item leads to: ``(id, final_id, hops)``, by doubling the steps each round.
 
-    A chain that runs in a circle has no end and gives no row. Unknown successors end a chain as well.
+    There are as many rounds as the number of steps has bits, so a chain of any length comes to its end; what then still
+    moves runs into a circle, which has no end, and gives no row. Unknown successors end a chain as well.
     """
     steps = cut(items.where("superseded_by IS NOT NULL AND id IS NOT NULL AND superseded_by <> id").select("id", F.col("superseded_by").alias("to"), F.lit(1).cast("bigint").alias("hops")))
-    for _ in range(rounds):
-        ahead = steps.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
-        far = cut(steps.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved")))
-        if far.where("moved AND hops < 1000000").isEmpty():
+    for _ in range(steps.count().bit_length()):
+        ahead, seen = steps.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more")), Observation()
+        far = steps.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved"))
+        steps = cut(far.observe(seen, F.count_if("moved").alias("moved"))).drop("moved")
+        if not seen.get["moved"]:
             break
-        steps = far.drop("moved")
     circles = steps.join(steps.select(F.col("id").alias("to")), "to", "left_semi").select("id")
     return steps.join(circles, "id", "left_anti").select("id", F.col("to").alias("final_id"), "hops")
 

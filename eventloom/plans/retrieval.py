@@ -103,8 +103,8 @@ def packed_context(spark, sf_dir):
     """The items of each category that a budget of 600 tokens takes, by importance and last change."""
     items = _read(spark, sf_dir, "memory_items").where("status = 'active' AND category IS NOT NULL")
     rows = items.select("id", "category", "updated_at", T.importance_rank(F.col("importance")).alias("level"), T.estimated_tokens(F.coalesce("text", F.lit(""))).alias("cost"))
-    order = [F.desc_nulls_last("level"), F.desc_nulls_last("updated_at"), F.col("id")]
-    return R.packed(rows, "category", order, "cost", 600, 50)
+    order = [-F.coalesce("level", F.lit(-9)), -F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(1 << 62)))]
+    return R.packed(rows, "category", order, "cost", 600)
 
 
 QUERIES = {
@@ -190,7 +190,7 @@ SQL = {
             SELECT category, k, id, CASE WHEN cost <= 600 THEN cost ELSE 0 END AS used, cost <= 600 AS kept FROM r WHERE k = 1
             UNION ALL
             SELECT r.category, r.k, r.id, CASE WHEN w.used + r.cost <= 600 THEN w.used + r.cost ELSE w.used END, w.used + r.cost <= 600
-            FROM walk w JOIN r ON r.category = w.category AND r.k = w.k + 1 WHERE r.k <= 50)
+            FROM walk w JOIN r ON r.category = w.category AND r.k = w.k + 1)
         SELECT category, max(used) OVER (PARTITION BY category) AS used, CAST(row_number() OVER (PARTITION BY category ORDER BY k) - 1 AS INT) AS place, id
         FROM walk WHERE kept""",
 }

@@ -152,7 +152,7 @@ def _redacted_args() -> str:
     text = """('{"apiKey": "' || coalesce(dedupe_hash, '') || '", "in": {"Session-Id":"' || session_id || '", "args": ' || payload.args || '}}')"""
     text = f"regexp_replace({text}, {_q(T.SECRET_VALUE)}, {_q(chr(92) + '1' + chr(34) + T.MASK + chr(34))}, 'g')"
     for pattern, left in T.SECRETS:
-        text = f"regexp_replace({text}, {_q(pattern)}, {_q(left.replace('$', chr(92)))}, 'g')"
+        text = f"regexp_replace({text}, {_q(T.re2(pattern))}, {_q(left.replace('$', chr(92)))}, 'g')"
     return f"SELECT delivery_seq, {text} AS args FROM session_events WHERE payload.args IS NOT NULL"
 
 
@@ -161,8 +161,8 @@ def _redaction() -> tuple[str, str]:
     step, masked = "SELECT delivery_seq, " + text + " AS t0 FROM session_events", []
     for k, (pattern, left) in enumerate(T.SECRETS):
         left = left.replace("$1", "\\1").replace("$2", "\\2")
-        step = f"SELECT *, regexp_replace(t{k}, {_q(pattern)}, {_q(left)}, 'g') AS t{k + 1} FROM ({step})"
-        masked.append(f"len(regexp_extract_all(t{k}, {_q(pattern)}))")
+        step = f"SELECT *, regexp_replace(t{k}, {_q(T.re2(pattern))}, {_q(left)}, 'g') AS t{k + 1} FROM ({step})"
+        masked.append(f"len(regexp_extract_all(t{k}, {_q(T.re2(pattern))}))")
     return step, " + ".join(masked)
 
 

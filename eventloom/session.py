@@ -35,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is made and kept for the session.
+    Only where that setting is absent and the master is local (tests, a single machine) a temporary folder is made and
+    kept for the session; a cluster without the setting is an error, since its executors share no local folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("eventloom.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-eventloom-")
         spark.conf.set("eventloom.shared.dir", named)
     return named
