@@ -34,7 +34,8 @@ PAIRS_AT_ONCE = 500_000
 HOT = 1024
 
 _ENTRIES = "band int, part int, block bigint, buckets array<int>, places array<smallint>, groups array<bigint>"
-_PAIRS = "a bigint, b bigint, left array<bigint>, right array<bigint>, left_groups array<bigint>, right_groups array<bigint>"
+#: Pairs of items, or pairs of blocks of items with their groups, packed as 8 bytes each.
+_PAIRS = "a bigint, b bigint, left binary, right binary, left_groups binary, right_groups binary"
 
 
 def _permuted(x: np.ndarray) -> np.ndarray:
@@ -84,7 +85,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _plain(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(a), pa.list_(pa.int64()))
+    none = pa.nulls(len(a), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none, none], ["a", "b", "left", "right", "left_groups", "right_groups"])
 
 
@@ -128,7 +129,7 @@ def _pairs_in(batches: Iterator[pa.RecordBatch], star: bool, most: int) -> Itera
             # Groups are in order, so two blocks of one group have nothing to compare.
             others = [(c, d) for c, d in ranges[i:] if groups[a] != groups[d - 1]]
             if others:
-                of = lambda values, spans: pa.array([values[c:d] for c, d in spans], pa.list_(pa.int64()))
+                of = lambda values, spans: pa.array([values[c:d].tobytes() for c, d in spans], pa.binary())
                 same, none = [(a, b)] * len(others), pa.nulls(len(others), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [none, none, of(nodes, same), of(nodes, others), of(groups, same), of(groups, others)], ["a", "b", "left", "right", "left_groups", "right_groups"]
@@ -143,7 +144,7 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield plain.select(["a", "b"])
         blocks = batch.filter(batch.column("left").is_valid())
         for k in range(len(blocks)):
-            left, right, of_left, of_right = (blocks.column(c)[k].values.to_numpy() for c in ("left", "right", "left_groups", "right_groups"))
+            left, right, of_left, of_right = (np.frombuffer(blocks.column(c)[k].as_py(), np.int64) for c in ("left", "right", "left_groups", "right_groups"))
             apart = of_left[:, None] != of_right[None, :]
             if left[0] == right[0]:
                 apart &= np.arange(len(left))[:, None] < np.arange(len(right))
@@ -202,7 +203,7 @@ def _candidates(sets: DataFrame, rows: int, bands: int, hot: int, star: bool = F
 
     found = sets.select("node", "category", "words", *["group"] * grouped).mapInArrow(entries, _ENTRIES)
     pairs = found.groupBy("band", "part").applyInArrow(pairs_in, _PAIRS)
-    spread = F.xxhash64("a", "b", F.get("left", F.lit(0)), F.get("right", F.lit(0)))
+    spread = F.xxhash64("a", "b", "left", "right")
     return pairs.repartition(spread).mapInArrow(_expanded, "a bigint, b bigint").distinct()
 
 
