@@ -18,22 +18,27 @@ from eventloom.session import cut, written
 RANGE = 256
 FAN = 64
 
-_STATE = "struct<alive:boolean,status:string,importance:string,version:bigint,stamped:boolean>"
+#: The parts of an item that its state keeps, and those that a detailed one keeps as well. An operation sets those that it
+#: gives and leaves the others.
+PARTS = {"status": "string", "importance": "string"}
+DETAILS = {**PARTS, "category": "string", "text": "string", "confidence": "double", "source": "string", "reason": "string", "superseded_by": "string"}
+#: The confidence of an item that names none, and the most that one may have that is not the user's.
+CONFIDENCE, MOST_INFERRED = 0.8, 0.9
 
 
-def ordered_log(patches: DataFrame) -> DataFrame:
+def ordered_log(patches: DataFrame, parts: dict[str, str] = PARTS) -> DataFrame:
     """One row for each ``(store_id, seq)``: ``store_id, seq, base, new, body``; repeats go, the earliest arrival stays.
 
-    Rows with a null store or seq have no place in any log and are ignored.
+    The body has the lists of operations with the fields that ``parts`` take. Rows with a null store or seq have no place
+    in any log and are ignored.
     """
+    pick = lambda names: lambda x: F.struct(*[x[n].alias(n) for n in names])
+    detailed = set(parts) - set(PARTS)
     body = F.struct(
-        F.transform("patch.add_items", lambda x: F.struct(x["id"].alias("id"), x["importance"].alias("importance"))).alias("add"),
-        F.transform(
-            "patch.update_items",
-            lambda x: F.struct(x["id"].alias("id"), x["status"].alias("status"), x["importance"].alias("importance")),
-        ).alias("update"),
+        F.transform("patch.add_items", pick(["id", "importance", *(["category", "text", "confidence", "source", "reason"] if detailed else [])])).alias("add"),
+        F.transform("patch.update_items", pick(["id", "status", "importance", *(["text", "confidence", "reason"] if detailed else [])])).alias("update"),
         F.col("patch.remove_ids").alias("remove"),
-        F.transform("patch.supersede_items", lambda x: x["id"]).alias("supersede"),
+        F.transform("patch.supersede_items", pick(["id", "by_id", "reason"]) if detailed else pick(["id"])).alias("supersede"),
     )
     row = F.struct(F.col("base_version").alias("base"), F.col("new_version").alias("new"), body.alias("body"))
     return (
@@ -145,24 +150,38 @@ def accepted_patches(log: DataFrame, size: int = RANGE) -> DataFrame:
     )
 
 
-def _state(alive, status, importance, version, stamped) -> Column:
+def _state(kinds: dict[str, str], alive, version, stamped, **given: Column) -> Column:
     return F.struct(
-        alive.alias("alive"), status.cast("string").alias("status"), importance.cast("string").alias("importance"),
-        version.cast("bigint").alias("version"), stamped.alias("stamped"),
-    )
+        alive.alias("alive"), *[given.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds.items()], version.cast("bigint").alias("version"), stamped.alias("stamped")
+    )
 
 
-def item_functions(accepted: DataFrame) -> DataFrame:
+def item_functions(accepted: DataFrame, parts: dict[str, str] = PARTS) -> DataFrame:
     """Each operation of each accepted patch as a function on its item: ``store_id, item_id, seq, at, absent, held``.
 
     ``absent`` is what the operation makes of an item that is not held: a state, with ``alive`` false for none.
     ``held`` is what it makes of one that is held: ``alive`` false drops it, otherwise each null part stays as it was, and
     so does the version unless ``stamped``, since a version may be null.
     """
-    null = F.lit(None)
-    yes, no = F.lit(True), F.lit(False)
-    none = _state(no, null, null, null, no)
-    same = _state(yes, null, null, null, no)
+    null, yes, no = F.lit(None), F.lit(True), F.lit(False)
+    none, same = _state(parts, no, null, no), _state(parts, yes, null, no)
+    detailed, new = set(parts) > set(PARTS), F.col("new")
+
+    def made(x):
+        given = {"status": F.lit("active"), "importance": F.coalesce(x["importance"], F.lit("medium"))}
+        if detailed:
+            sure = F.coalesce(x["source"], F.lit("worker")) == "user"
+            bound = F.when(sure, x["confidence"]).otherwise(F.least(x["confidence"], F.lit(MOST_INFERRED)))
+            confidence = F.coalesce(F.when(x["confidence"].isNotNull(), bound), F.lit(CONFIDENCE))
+            given |= {"category": x["category"], "text": x["text"], "confidence": confidence, "source": F.coalesce(x["source"], F.lit("worker")), "reason": x["reason"]}
+        return _state(parts, yes, new, yes, **given)
+
+    def changed(x):
+        names = ("status", "importance", "text", "confidence", "reason") if detailed else ("status", "importance")
+        return _state(parts, yes, new, yes, **{n: x[n] for n in names})
+
+    def retired(x):
+        return _state(parts, yes, new, yes, status=F.lit("superseded"), **({"superseded_by": x["by_id"], "reason": x["reason"]} if detailed else {}))
 
     def ops(kind: str, rank: int, item, absent, held):
         return F.transform(
@@ -173,15 +192,14 @@ def item_functions(accepted: DataFrame) -> DataFrame:
             ),
         )
 
-    new = F.col("new")
     every = [
-        ops("add", 0, lambda x: x["id"],
-            lambda x: _state(yes, F.lit("active"), F.coalesce(x["importance"], F.lit("medium")), new, yes), lambda x: same),
-        ops("update", 1, lambda x: x["id"], lambda x: none, lambda x: _state(yes, x["status"], x["importance"], new, yes)),
+        ops("add", 0, lambda x: x["id"], made, lambda x: same),
+        ops("update", 1, lambda x: x["id"], lambda x: none, changed),
         ops("remove", 2, lambda x: x, lambda x: none, lambda x: none),
-        ops("supersede", 3, lambda x: x, lambda x: none, lambda x: _state(yes, F.lit("superseded"), null, new, yes)),
-    ]
-    kind = f"array<struct<item_id:string,at:struct<rank:int,place:int>,absent:{_STATE},held:{_STATE}>>"
+        ops("supersede", 3, lambda x: x["id"], lambda x: none, retired),
+    ]
+    state = f"struct<alive:boolean,{','.join(f'{n}:{k}' for n, k in parts.items())},version:bigint,stamped:boolean>"
+    kind = f"array<struct<item_id:string,at:struct<rank:int,place:int>,absent:{state},held:{state}>>"
     none_yet = F.array().cast(kind)
     return (
         accepted.select("store_id", "seq", F.explode(F.concat(*[F.coalesce(x.cast(kind), none_yet) for x in every])).alias("o"))
@@ -190,65 +208,79 @@ def item_functions(accepted: DataFrame) -> DataFrame:
     )
 
 
-def _then(f: Column, g_held: Column, g_absent: Column) -> Column:
+def _then(parts: dict[str, str], f: Column, g_held: Column, g_absent: Column) -> Column:
     """The result state of ``f`` followed by a function with the given halves."""
     kept = _state(
+        parts,
         g_held["alive"],
-        F.when(g_held["alive"], F.coalesce(g_held["status"], f["status"])),
-        F.when(g_held["alive"], F.coalesce(g_held["importance"], f["importance"])),
         F.when(g_held["stamped"], g_held["version"]).when(g_held["alive"], f["version"]),
         g_held["stamped"] | (g_held["alive"] & f["stamped"]),
+        **{n: F.when(g_held["alive"], F.coalesce(g_held[n], f[n])) for n in parts},
     )
     return F.when(f["alive"], kept).otherwise(g_absent)
 
 
-def _composed(functions: Column) -> Column:
+def _composed(parts: dict[str, str], functions: Column) -> Column:
     """The composition of an ordered array of item functions."""
     null = F.lit(None)
-    unit = F.struct(_state(F.lit(False), null, null, null, F.lit(False)).alias("absent"), _state(F.lit(True), null, null, null, F.lit(False)).alias("held"))
+    unit = F.struct(_state(parts, F.lit(False), null, F.lit(False)).alias("absent"), _state(parts, F.lit(True), null, F.lit(False)).alias("held"))
     return F.aggregate(
         functions,
         unit,
         lambda f, g: F.struct(
-            _then(f["absent"], g["held"], g["absent"]).alias("absent"), _then(f["held"], g["held"], g["absent"]).alias("held")
+            _then(parts, f["absent"], g["held"], g["absent"]).alias("absent"), _then(parts, f["held"], g["held"], g["absent"]).alias("held")
         ),
     )
 
 
-def held_items(functions: DataFrame, size: int = RANGE, fan: int = FAN) -> DataFrame:
-    """Reduce item functions to the state of each item held at the end: ``store_id, item_id, status, importance, version``.
+def held_items(functions: DataFrame, size: int = RANGE, fan: int = FAN, parts: dict[str, str] = PARTS) -> DataFrame:
+    """Reduce item functions to the state of each item held at the end: ``store_id, item_id``, its parts and ``version``.
 
     The functions of an item within one range of ``seq`` are composed first, then ``fan`` ranges at a time. A composed
     function has a fixed size, so each level is smaller than the one below.
     """
     level = functions.select("store_id", "item_id", F.floor(F.col("seq") / size).alias("node"), F.struct("seq", "at").alias("at"), "absent", "held")
-    level = _reduce(level)
+    level = _reduce(level, parts)
     top = level.agg(F.min("node"), F.max("node")).first()
     low, high = (top[0] or 0, top[1] or 0)
     while high > low:
         low, high = low // fan, high // fan
         level = _reduce(
-            level.select("store_id", "item_id", F.floor(F.col("node") / fan).alias("node"), F.col("node").alias("at"), "absent", "held")
+            level.select("store_id", "item_id", F.floor(F.col("node") / fan).alias("node"), F.col("node").alias("at"), "absent", "held"), parts
         )
-    return level.where("absent.alive").select("store_id", "item_id", "absent.status", "absent.importance", "absent.version")
+    return level.where("absent.alive").select("store_id", "item_id", *[f"absent.{n}" for n in parts], "absent.version")
 
 
-def _reduce(level: DataFrame) -> DataFrame:
+def _reduce(level: DataFrame, parts: dict[str, str]) -> DataFrame:
     grouped = level.groupBy("store_id", "item_id", "node").agg(F.array_sort(F.collect_list(F.struct("at", "absent", "held"))).alias("fs"))
-    return grouped.select("store_id", "item_id", "node", _composed(F.col("fs")).alias("f")).select(
+    return grouped.select("store_id", "item_id", "node", _composed(parts, F.col("fs")).alias("f")).select(
         "store_id", "item_id", "node", "f.absent", "f.held"
     )
 
 
-def current_items(patches: DataFrame, size: int = RANGE, fan: int = FAN) -> DataFrame:
-    """The items that each store holds after its log: ``store_id, item_id, status, importance, version``.
+def current_items(patches: DataFrame, size: int = RANGE, fan: int = FAN, parts: dict[str, str] = PARTS) -> DataFrame:
+    """The items that each store holds after its log: ``store_id, item_id, status, importance, version``, or all ``DETAILS``.
 
     A store starts at version 0 without items. A patch whose base is not the version reached changes nothing, any other
     sets the version, an empty or null patch too. Add, update, remove and supersede count in this order, each list in
     its own. Repeated rows of one ``seq`` count once, rows in any order give the same result, gaps in ``seq`` are no
-    error. Nulls: rows without store or seq are ignored, so are list entries without id; a null base fits no version,
+    error. Details: an item made without confidence has ``CONFIDENCE``, one that is not the user's at most
+    ``MOST_INFERRED``; an update sets what it gives; the successor and reason of a retired one are those last given.
+    Nulls: rows without store or seq are ignored, so are list entries without id; a null base fits no version,
     and after a null new version nothing fits. An empty table gives no rows. Extra columns are ignored.
     """
-    log = written(ordered_log(patches), "patch-log")
-    functions = written(item_functions(accepted_patches(log, size)), "item-functions")
-    return held_items(functions, size, fan)
+    log = written(ordered_log(patches, parts), "patch-log")
+    functions = written(item_functions(accepted_patches(log, size), parts), "item-functions")
+    return held_items(functions, size, fan, parts)
+
+
+def working_memory(patches: DataFrame, size: int = RANGE) -> DataFrame:
+    """What the accepted patches of each store leave as its working memory: ``store_id, name, value, seq``, the value that
+    the last of them gives to each name. Names that only later patches leave out stay; a null value is a value."""
+    body = F.struct(F.map_entries("patch.working").alias("working"))
+    row = F.struct(F.col("base_version").alias("base"), F.col("new_version").alias("new"), body.alias("body"))
+    log = patches.where("store_id IS NOT NULL AND seq IS NOT NULL").groupBy("store_id", "seq").agg(F.min_by(row, F.struct("received_at", "id")).alias("p"))
+    log = written(log.select("store_id", "seq", "p.base", "p.new", "p.body"), "working-log")
+    given = accepted_patches(log, size).select("store_id", "seq", F.explode("body.working").alias("e")).select("store_id", "seq", F.col("e.key").alias("name"), "e.value")
+    last = given.groupBy("store_id", "name").agg(F.max_by(F.struct("value"), "seq").alias("v"), F.max("seq").alias("seq"))
+    return last.select("store_id", "name", "v.value", "seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.operators import dedupe, patches
-from eventloom.session import table
+from eventloom.plans.state import items_sql
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,4 +38,5 @@ SQL = {
         )
         SELECT s AS delivery_seq FROM reach GROUP BY s HAVING min(t) < s
     """,
+    "p4_found": f"WITH RECURSIVE {items_sql()} SELECT * FROM held",
 }

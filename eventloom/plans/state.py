@@ -97,11 +97,28 @@ def replay_difference(spark, sf_dir):
     return end.join(then, keys, "left_anti").unionByName(then.join(end, keys, "left_anti"))
 
 
+def store_items(spark, sf_dir):
+    """The items that every store holds at the end, with all their parts."""
+    return P.current_items(_read(spark, sf_dir, "patches"), parts=P.DETAILS)
+
+
+def store_working(spark, sf_dir):
+    """The working memory of every store at the end."""
+    return P.working_memory(_read(spark, sf_dir, "patches"))
+
+
+def store_versions(spark, sf_dir):
+    """The version that every store reaches, and how many of its patches count."""
+    log = P.written(P.ordered_log(_read(spark, sf_dir, "patches")).select("store_id", "seq", "base", "new", F.struct("seq").alias("body")), "versions-log")
+    reached = P.accepted_patches(log).groupBy("store_id").agg(F.count("*").alias("accepted"), F.max_by(F.struct("new"), "seq").alias("v"))
+    return reached.select("store_id", "accepted", F.col("v.new").alias("version"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         live_items, decayed_items, item_flags, category_listing, supersession_chains, evidence_checks, patch_op_counts, patch_unknown_targets, patch_violations,
-        patch_repeated_additions, touched_items, replay_as_of, replay_difference,
+        patch_repeated_additions, touched_items, replay_as_of, replay_difference, store_items, store_working, store_versions,
     )
 }
 
@@ -119,6 +136,50 @@ _OPS = f"""{_LOG}, {_ALL}, ops AS (
                 list_transform(coalesce(patch.supersede_items, []), lambda x: {{'op': 'supersede', 'item_id': x.id, 'category': NULL::VARCHAR, 'text': NULL::VARCHAR}}),
                 list_transform(coalesce(patch.touch_ids, []), lambda x: {{'op': 'touch', 'item_id': x, 'category': NULL::VARCHAR, 'text': NULL::VARCHAR}})) AS l
             FROM log)))"""
+def _accepted(where: str = "true") -> str:
+    """The log walked patch by patch."""
+    return f"""firsts AS (
+        SELECT store_id, seq, unnest(arg_min({{'base': base_version, 'new': new_version, 'patch': patch}}, (received_at, id))) FROM patches
+        WHERE store_id IS NOT NULL AND seq IS NOT NULL AND {where} GROUP BY store_id, seq),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY seq) AS k FROM firsts),
+    walk AS (
+        SELECT store_id, 0::BIGINT AS k, 0::BIGINT AS version, false AS taken FROM (SELECT DISTINCT store_id FROM placed)
+        UNION ALL
+        SELECT p.store_id, p.k, CASE WHEN coalesce(p.base = w.version, false) THEN p.new ELSE w.version END, coalesce(p.base = w.version, false)
+        FROM walk w JOIN placed p ON p.store_id = w.store_id AND p.k = w.k + 1),
+    accepted AS (SELECT p.* FROM placed p JOIN walk w USING (store_id, k) WHERE w.taken)"""
+
+
+def items_sql(where: str = "true", detailed: bool = False) -> str:
+    """Common tables that end in ``held``: the items of every store, walked operation by operation."""
+    none = "NULL::VARCHAR"
+    one = lambda rank, var, item, **given: f"list_transform({var}, lambda x: {{'rank': {rank}, 'item': {item}, " + ", ".join(
+        f"'{n}': {given.get(n, 'NULL::DOUBLE' if n == 'confidence' else none)}" for n in P.DETAILS
+    ) + "})"
+    bound = f"coalesce(CASE WHEN x.source = 'user' THEN x.confidence WHEN x.confidence IS NOT NULL THEN least(x.confidence, {P.MOST_INFERRED}) END, {P.CONFIDENCE})"
+    added = one(0, "coalesce(patch.add_items, [])", "x.id", status="'active'", importance="coalesce(x.importance, 'medium')", category="x.category", text="x.text",
+                confidence=bound, source="coalesce(x.source, 'worker')", reason="x.reason")
+    updated = one(1, "coalesce(patch.update_items, [])", "x.id", status="x.status", importance="x.importance", text="x.text", confidence="x.confidence", reason="x.reason")
+    removed = one(2, "coalesce(patch.remove_ids, [])", "x")
+    retired = one(3, "coalesce(patch.supersede_items, [])", "x.id", status="'superseded'", superseded_by="x.by_id", reason="x.reason")
+    parts = list(P.DETAILS if detailed else P.PARTS)
+    step = lambda n: f"CASE WHEN o.rank = 0 THEN CASE WHEN s.alive THEN s.{n} ELSE o.{n} END ELSE coalesce(o.{n}, s.{n}) END AS {n}"
+    return f"""{_accepted(where)},
+    listed AS (SELECT store_id, seq, new, list_concat({added}, {updated}, {removed}, {retired}) AS l FROM accepted),
+    opened AS (SELECT store_id, seq, new, unnest(l) AS o, generate_subscripts(l, 1) AS place FROM listed),
+    numbered AS (
+        SELECT store_id, new, o.item AS item_id, o.rank AS rank, {', '.join(f'o.{n} AS {n}' for n in parts)},
+               row_number() OVER (PARTITION BY store_id, o.item ORDER BY seq, place) AS k FROM opened WHERE o.item IS NOT NULL),
+    states AS (
+        SELECT store_id, item_id, 0::BIGINT AS k, false AS alive, {', '.join(f"NULL::{'DOUBLE' if n == 'confidence' else 'VARCHAR'} AS {n}" for n in parts)}, NULL::BIGINT AS version
+        FROM (SELECT DISTINCT store_id, item_id FROM numbered)
+        UNION ALL
+        SELECT o.store_id, o.item_id, o.k, CASE o.rank WHEN 0 THEN true WHEN 2 THEN false ELSE s.alive END, {', '.join(step(n) for n in parts)},
+               CASE WHEN (o.rank = 0 AND s.alive) OR o.rank = 2 THEN s.version ELSE o.new END
+        FROM states s JOIN numbered o ON o.store_id = s.store_id AND o.item_id = s.item_id AND o.k = s.k + 1),
+    held AS (SELECT store_id, item_id, {', '.join(parts)}, version FROM states s WHERE alive AND k = (SELECT max(k) FROM numbered n WHERE n.store_id = s.store_id AND n.item_id = s.item_id))"""
+
+
 SQL = {
     "live_items": f"SELECT id, category, importance FROM memory_items WHERE {_LIVE}",
     "decayed_items": f"SELECT id, ttl_seconds FROM memory_items WHERE status = 'active' AND NOT {_LIVE}",
@@ -169,4 +230,17 @@ SQL = {
                 SELECT store_id, seq, arg_min({'patch': patch, 'created_at': created_at}, (received_at, id)) AS p FROM patches
                 WHERE store_id IS NOT NULL AND seq IS NOT NULL GROUP BY store_id, seq))
         WHERE item_id IS NOT NULL GROUP BY store_id, item_id""",
+    "replay_as_of": f"WITH RECURSIVE {items_sql(f'seq <= {UP_TO}')} SELECT * FROM held",
+    "replay_difference": f"""
+        WITH ends AS (WITH RECURSIVE {items_sql()} SELECT store_id, item_id FROM held),
+        thens AS (WITH RECURSIVE {items_sql(f'seq <= {UP_TO}')} SELECT store_id, item_id FROM held)
+        SELECT *, 'added' AS change FROM (SELECT * FROM ends EXCEPT SELECT * FROM thens)
+        UNION ALL SELECT *, 'gone' FROM (SELECT * FROM thens EXCEPT SELECT * FROM ends)""",
+    "store_items": f"WITH RECURSIVE {items_sql(detailed=True)} SELECT * FROM held",
+    "store_working": f"""
+        WITH RECURSIVE {_accepted()}, given AS (SELECT store_id, seq, unnest(map_entries(patch.working)) AS e FROM accepted WHERE patch.working IS NOT NULL)
+        SELECT store_id, e.key AS name, arg_max({{'v': e.value}}, seq).v AS value, max(seq) AS seq FROM given GROUP BY store_id, e.key""",
+    "store_versions": f"""
+        WITH RECURSIVE {_accepted()}
+        SELECT store_id, count(*) AS accepted, arg_max({{'v': new}}, seq).v AS version FROM accepted GROUP BY store_id""",
 }
