@@ -60,18 +60,19 @@ def running_steps(deltas: DataFrame, at: str, delta: str, bucket: Column) -> Dat
     return steps.withColumn("inside", inside).join(before, "bucket").select("at", (F.col("base") + F.col("inside")).alias("total"))
 
 
-def running_sum(df: DataFrame, key: str, order: str, value: str, name: str, width: int = 100_000) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows of the same key up to each row, by the whole number ``order``.
+def running_sum(df: DataFrame, key: str | list[str], order: str, value: str, name: str, width: int = 100_000) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the same key or keys up to each row, by the whole number ``order``.
 
     Each key is cut into ranges of ``order``; sums run inside the ranges and over the ranges' totals, so a hot key is
     spread over as many tasks as it has ranges.
     """
+    keys = [key] if isinstance(key, str) else key
     rows = df.withColumn("_range", F.floor(F.col(order) / width))
-    totals = rows.groupBy(key, "_range").agg(F.sum(value).alias("_sum"))
-    along = Window.partitionBy(key).orderBy("_range")
-    bases = totals.select(key, "_range", (F.sum("_sum").over(along) - F.col("_sum")).alias("_base"))
-    inside = F.sum(value).over(Window.partitionBy(key, "_range").orderBy(order))
-    return rows.withColumn(name, inside).join(bases, [key, "_range"]).withColumn(name, F.col(name) + F.col("_base")).drop("_range", "_base")
+    totals = rows.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    along = Window.partitionBy(*keys).orderBy("_range")
+    bases = totals.select(*keys, "_range", (F.sum("_sum").over(along) - F.col("_sum")).alias("_base"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_range").orderBy(order))
+    return rows.withColumn(name, inside).join(bases, [*keys, "_range"]).withColumn(name, F.col(name) + F.col("_base")).drop("_range", "_base")
 
 
 def running_last(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 100_000) -> DataFrame:
