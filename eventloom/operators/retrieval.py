@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
 
 K1, B = 1.2, 0.75
-#: Vectors in one block of a similarity search.
-BLOCK = 2048
+#: Vectors in one block of a similarity search, and places of a vector of hashed terms.
+BLOCK, WIDTH = 2048, 32
 
 # Weights of importance in the metadata score, kinds of exact tokens, and the weights they ask for.
 IMPORTANCE_WEIGHT = {"critical": 2.2, "high": 1.6, "medium": 1.0, "low": 0.6, "ephemeral": 0.3}
@@ -102,14 +103,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     in a task, which gives on its best ``k`` for each query and sums. So nothing but blocks is paired. A vector of another
     length or of norm 0 has similarity 0; null vectors and null ids are left out; a query meets itself too.
     """
-    ready = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    kind = vectors.schema[key].dataType.simpleString()
+    kind = "string" if kind == "string" else "bigint"
+    ready = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast(kind).alias("i"), F.col(vector).cast("array<double>").alias("v"))
 
     def blocks(df: DataFrame, side: str) -> DataFrame:
         n = -(-df.count() // block) or 1
         return df.groupBy(F.pmod(F.xxhash64("i"), F.lit(n)).alias("b")).agg(F.collect_list("i").alias(f"{side}_ids"), F.collect_list("v").alias(f"{side}_vectors")).drop("b")
 
-    def unit(rows: list, width: int) -> np.ndarray:
-        out = np.array([r if len(r) == width else [0.0] * width for r in rows], np.float64).reshape(len(rows), width)
+    def unit(rows: pa.ListArray, width: int) -> np.ndarray:
+        """Rows of unit length from Arrow's buffer; those of another width or without norm are 0."""
+        sizes = pc.list_value_length(rows).to_numpy()
+        fits, out = sizes == width, np.zeros((len(rows), width))
+        out[fits] = rows.flatten().to_numpy()[np.repeat(fits, sizes)].reshape(-1, width)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
@@ -117,21 +123,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
         names = ["query_id", "doc_id", "score", "total", "squares", "n"]
         for batch in batches:
             for row in range(len(batch)):
-                q_ids, q_rows, ids, rows = (batch.column(c)[row].as_py() for c in ("q_ids", "q_vectors", "d_ids", "d_vectors"))
+                q_ids, q_rows, ids, rows = (batch.column(c)[row].values for c in ("q_ids", "q_vectors", "d_ids", "d_vectors"))
                 width = len(q_rows[0])
                 sims = unit(q_rows, width) @ unit(rows, width).T
                 m = min(k, len(ids))
-                ids = np.array(ids)
-                order = np.lexsort((np.broadcast_to(ids, sims.shape), -np.round(sims, 9)), axis=1)[:, :m]
+                rank = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+                order = np.lexsort((np.broadcast_to(rank, sims.shape), -np.round(sims, 9)), axis=1)[:, :m]
                 best = np.take_along_axis(sims, order, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, m)), pa.array(ids[order].ravel()), pa.array(best.ravel()),
+                    [q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), m))), ids.take(pa.array(order.ravel())), pa.array(best.ravel()),
                      pa.array(np.repeat(sims.sum(1) / m, m)), pa.array(np.repeat((sims**2).sum(1) / m, m)), pa.array(np.repeat(len(ids) / m, len(q_ids) * m))],
                     names,
                 )
 
     pairs = blocks(ready(queries), "q").crossJoin(blocks(ready(vectors), "d"))
-    found = pairs.mapInArrow(compare, "query_id bigint, doc_id bigint, score double, total double, squares double, n double")
+    found = pairs.mapInArrow(compare, f"query_id {kind}, doc_id {kind}, score double, total double, squares double, n double")
     whole = Window.partitionBy("query_id")
     mean = F.sum("total").over(whole) / F.sum("n").over(whole)
     deviation = F.sqrt(F.greatest(F.lit(0.0), F.sum("squares").over(whole) / F.sum("n").over(whole) - mean * mean))
@@ -144,13 +150,30 @@ def standing_out(ranked: DataFrame, floor: float) -> DataFrame:
     return ranked.where((F.col("score") > 0) & (F.col("score") >= F.greatest(F.lit(floor), F.col("mean") + F.col("deviation")) - 1e-6))
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def neighbours(edges: DataFrame, seeds: DataFrame, allowed: DataFrame) -> DataFrame:
     """One hop from the seeds over edges ``(a, b, weight)`` in either direction: ``(id, score)``, the best edge of each
-    neighbour that is no seed itself. ``seeds`` has ``id, score``."""
+    neighbour that is no seed itself and among the ``allowed`` ids. ``seeds`` has ``id, score``."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     reached = both.join(seeds.select(F.col("id").alias("a"), F.col("score").alias("from_score")), "a")
     best = reached.groupBy(F.col("b").alias("id")).agg(F.max(F.col("from_score") * F.col("weight")).alias("score"))
-    return best.join(seeds.select("id"), "id", "left_anti")
+    return best.join(seeds.select("id"), "id", "left_anti").join(allowed.select("id"), "id", "left_semi")
+
+
+def text_vectors(rows: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
+    """Vectors of texts without a model: ``key, embedding``. Each term falls on one of ``width`` places by its FNV hash and
+    counts up or down there by another bit of it; a text without terms has a vector of zeros, a null text none."""
+    hashes = F.transform(F.array_distinct(terms(F.col(text))), lambda t: T.fnv1a(t))
+    signed = F.transform(hashes, lambda h: F.struct((h % width).alias("at"), F.when(F.shiftright(h, 16) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.aggregate(F.filter("signed", lambda x: x["at"] == d), F.lit(0.0), lambda a, x: a + x["s"]))
+    return rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, signed.alias("signed")).select(key, spread.alias("embedding"))
+
+
+def fused_by_query(keyword: DataFrame, vector: DataFrame, weights: DataFrame, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of a keyword and a vector list ``(query_id, doc_id, rank)``; ``weights`` has the weight of the
+    keyword list of each query, the vector list has the rest of 1."""
+    score = lambda df, w: df.join(weights, "query_id").select("query_id", "doc_id", (w / (k + F.col("rank"))).alias("s"))
+    every = score(keyword, F.col("weight")).unionAll(score(vector, 1 - F.col("weight")))
+    return every.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 8).alias("score"))
 
 
 def packed(rows: DataFrame, group: str, order: list[Column], cost: str, budget: int) -> DataFrame:
