@@ -10,6 +10,10 @@ from eventloom.operators import triage
 from eventloom.operators.metrics import newest_of_each
 
 
+#: A folder that the planted ignore rule leaves out.
+IGNORED = "(?:^|/)node_modules/"
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/session_events.parquet")
 
@@ -56,6 +60,15 @@ def triage_route(spark, sf_dir):
     return triage.triaged(_events(spark, sf_dir)).select("delivery_seq", "rank", "action", "tokens")
 
 
+def triage_decisions(spark, sf_dir):
+    """The whole triage of events to which sensitive and ignored paths and each event's own id under a secret's name are added."""
+    seq, path = F.col("delivery_seq"), F.col("payload.path")
+    planted = F.when(seq % 5 == 0, F.regexp_replace(path, "[^/]+$", ".env.local")).when(seq % 7 == 0, F.concat(F.lit("node_modules/"), path)).otherwise(path)
+    output = F.when(seq % 3 == 0, F.concat("payload.output", F.lit(" API_TOKEN="), "id")).otherwise(F.col("payload.output"))
+    events = _events(spark, sf_dir).withColumn("payload", F.col("payload").withField("path", planted).withField("output", output))
+    return triage.decided(events, 120, IGNORED).select("delivery_seq", "action", "rank", F.array_join("reasons", ",").alias("reasons"), "tokens", F.length("payload.output").cast("bigint").alias("kept"))
+
+
 def ingest_statistics(spark, sf_dir):
     """Events by action and importance."""
     return triage.triaged(_events(spark, sf_dir)).groupBy("action", "rank").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
@@ -168,10 +181,53 @@ def _redaction() -> tuple[str, str]:
 
 _STEPS, _MASKED = _redaction()
 
+def _masked(text: str) -> str:
+    for pattern, left in T.SECRETS:
+        text = f"regexp_replace({text}, {_q(T.re2(pattern))}, {_q(left.replace('$', chr(92)))}, 'g')"
+    return text
+
+
+def _cut(text: str, most: int) -> str:
+    head, tail = int(most * 0.6), int(most * 0.3)
+    return f"CASE WHEN length({text}) > {most} THEN left({text}, {head}) || chr(10) || '... [' || (length({text}) - {head + tail}) || ' chars cut] ...' || chr(10) || right({text}, {tail}) ELSE {text} END"
+
+
+def _decisions(most: int = 120) -> str:
+    fields = ("text", "output", "error", "command", "args")
+    cut = ", ".join(f"{_cut(f'payload.{n}', most) if n in triage.TRIMMED else f'payload.{n}'} AS c_{n}" for n in fields)
+    named = f"regexp_replace(c_args, {_q(T.SECRET_VALUE)}, {_q(chr(92) + '1' + chr(34) + T.MASK + chr(34))}, 'g')"
+    masked = ", ".join(f"{_masked(named if n == 'args' else f'c_{n}')} AS m_{n}" for n in fields)
+    paths = "list_filter(list_concat([payload.path], coalesce(payload.paths, [])), lambda p: p IS NOT NULL)"
+    bad = f"list_filter({paths}, lambda p: {_has(chr(112), T.SENSITIVE_PATH)} OR {_has(chr(112), IGNORED)})[1]"
+    level = "['ephemeral', 'low', 'medium', 'high', 'critical'][rank + 1]"
+    return f"""
+        WITH planted AS (
+            SELECT * REPLACE (struct_update(payload,
+                path := CASE WHEN delivery_seq % 5 = 0 THEN regexp_replace(payload.path, '[^/]+$', '.env.local') WHEN delivery_seq % 7 = 0 THEN 'node_modules/' || payload.path ELSE payload.path END,
+                output := CASE WHEN delivery_seq % 3 = 0 THEN payload.output || ' API_TOKEN=' || id ELSE payload.output END) AS payload) FROM session_events),
+        shortened AS (SELECT *, {bad} AS bad, {cut}, greatest({", ".join(f"coalesce(length(payload.{n}) > {most}, false)" for n in triage.TRIMMED)}) AS cut FROM planted),
+        hidden AS (SELECT *, {masked} FROM shortened),
+        clean AS (SELECT * REPLACE (struct_update(payload, {", ".join(f"{n} := m_{n}" for n in fields)}) AS payload), {" OR ".join(f"m_{n} IS DISTINCT FROM c_{n}" for n in fields)} AS hid,
+            coalesce(dedupe_hash, '') <> '' AND session_id IS NOT NULL AND row_number() OVER (PARTITION BY session_id, dedupe_hash ORDER BY delivery_seq) > 1 AS again FROM hidden),
+        files AS (
+            SELECT delivery_seq, payload.content_hash = lag(payload.content_hash) OVER (PARTITION BY payload.path ORDER BY delivery_seq) AS same FROM clean
+            WHERE NOT again AND bad IS NULL AND type = 'FILE_CHANGED' AND payload.path IS NOT NULL AND payload.content_hash IS NOT NULL),
+        {_TRIAGED.replace('FROM session_events)', 'FROM clean)')},
+        judged AS (SELECT t.*, coalesce(f.same, false) AS same, {level} AS level FROM triaged t LEFT JOIN files f USING (delivery_seq)),
+        told AS (SELECT *, CASE WHEN level IS DISTINCT FROM importance THEN 'reclassified:' || coalesce(importance, '') || '->' || level END AS re FROM judged)
+        SELECT delivery_seq, CASE WHEN again OR bad IS NOT NULL OR same THEN 'discard' ELSE action END AS action, CASE WHEN again OR bad IS NOT NULL OR same THEN 0 ELSE rank END AS rank,
+               CASE WHEN again THEN 'duplicate_event' WHEN bad IS NOT NULL THEN 'excluded_path:' || bad
+                    WHEN same THEN concat_ws(',', CASE WHEN cut THEN 'payload_truncated' END, CASE WHEN hid THEN 'redacted' END, 'file_unchanged')
+                    ELSE concat_ws(',', CASE WHEN cut THEN 'payload_truncated' END, CASE WHEN hid THEN 'redacted' END, re,
+                        CASE WHEN rank = 0 THEN 'ephemeral_no_residue' WHEN action = 'persist_and_queue' THEN 'needs_semantics' ELSE 'deterministic_only' END) END AS reasons,
+               CASE WHEN again OR bad IS NOT NULL OR same THEN 0 ELSE tokens END AS tokens, CAST(length(payload.output) AS BIGINT) AS kept
+        FROM told"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        triage_dedupe, triage_excluded, triage_trim, triage_redact, triage_redact_args, triage_classify, triage_route, ingest_statistics, unchanged_files,
+        triage_dedupe, triage_excluded, triage_trim, triage_redact, triage_redact_args, triage_classify, triage_route, triage_decisions, ingest_statistics, unchanged_files,
         token_estimate, pending_summary, file_index, shed_queue,
     )
 }
@@ -187,6 +243,7 @@ SQL = {
         FROM (SELECT delivery_seq, payload.text AS t FROM session_events) WHERE length(t) > 400""",
     "triage_redact": f"SELECT delivery_seq, t{len(T.SECRETS)} AS text, CAST({_MASKED} AS BIGINT) AS masked FROM ({_STEPS})",
     "triage_redact_args": _redacted_args(),
+    "triage_decisions": _decisions(),
     "triage_classify": f"WITH {_TRIAGED} SELECT delivery_seq, type, inferred FROM triaged",
     "triage_route": f"WITH {_TRIAGED} SELECT delivery_seq, rank, action, tokens FROM triaged",
     "ingest_statistics": f"WITH {_TRIAGED} SELECT action, rank, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM triaged GROUP BY action, rank",
