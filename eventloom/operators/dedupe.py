@@ -149,12 +149,10 @@ class QuotientTable:
         self.spark, self.path, self.groups = spark, path, groups
 
     def held(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(self._KIND).parquet(self.path)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return None  # the first batch finds no table
+        return self.spark.read.schema(self._KIND).parquet(self.path)
 
     def insert(self, rows: DataFrame, column: str, batch: str) -> DataFrame:
         """Insert the identifiers in ``column`` under a batch's name; returns the new ones. Nulls are ignored.

@@ -151,9 +151,15 @@ def coverage(spark, sf_dir):
     return counts.select("session_id", "stored", "pending", F.when(F.col("stored") > 0, F.round(derived / F.col("stored"), 6)).otherwise(0.0).alias("coverage"))
 
 
+def _loud():
+    """Whether any text field of an event has text, without putting them together."""
+    parts = [F.coalesce(F.col(f"payload.{x}") != "", F.lit(False)) for x in ("text", "command", "output", "error")]
+    return parts[0] | parts[1] | parts[2] | parts[3]
+
+
 def quiet_streak(spark, sf_dir):
     """The length of the run of events without text with which each session ends, of its last 20."""
-    rows = _read(spark, sf_dir, "session_events").where("session_id IS NOT NULL").select("session_id", "delivery_seq", (T.event_text() != "").alias("loud"))
+    rows = _read(spark, sf_dir, "session_events").where("session_id IS NOT NULL").select("session_id", "delivery_seq", _loud().alias("loud"))
     newest = Window.partitionBy("session_id").orderBy(F.desc("delivery_seq"))
     last = rows.withColumn("n", F.row_number().over(newest)).where("n <= 20")
     breaks = last.withColumn("breaks", F.sum(F.col("loud").cast("int")).over(newest))
@@ -169,8 +175,31 @@ def keep_last(spark, sf_dir, n: int = 500):
 def trailing_hour(spark, sf_dir):
     """For every measured event, what its user used in the hour up to it."""
     rows = _read(spark, sf_dir, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
-    hour = Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)
-    return rows.select("event_id", F.count("*").over(hour).alias("calls"), F.round(F.sum("value").over(hour), 4).alias("used"))
+    # A row is seen in its own hour and looked back on from the next, so a user with many rows is split by hours.
+    own = F.floor(F.col("s") / 3600)
+    seen = rows.select("event_id", "user_id", "value", "s", F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own")))).alias("h"))
+    hour = Window.partitionBy("user_id", "h.b").orderBy("s").rangeBetween(-3600, 0)
+    summed = seen.select("event_id", "h.own", F.count("*").over(hour).alias("calls"), F.round(F.sum("value").over(hour), 4).alias("used"))
+    return summed.where("own").drop("own")
+
+
+def avoided_tokens(spark, sf_dir, budget: int = 600):
+    """Tokens that resumed sessions did not read again, being given a context of ``budget`` instead of their past: by day, and
+    all up to that day."""
+    rows = _read(spark, sf_dir, "session_events").where("session_id IS NOT NULL").select("session_id", "delivery_seq", "type", T.estimated_tokens(T.event_text()).alias("tokens"))
+    past = metrics.running_sum(rows, "session_id", "delivery_seq", "tokens", "past").where("type = 'SESSION_STARTED'").select("delivery_seq", "past")
+    saved = past.join(resumes(spark, sf_dir), "delivery_seq").where("ts IS NOT NULL").select(F.to_date("ts").alias("day"), F.greatest(F.lit(0), F.col("past") - budget).alias("avoided"))
+    days = saved.groupBy("day").agg(F.sum("avoided").alias("avoided"), F.count("*").alias("resumes"))
+    return days.withColumn("upto", F.sum("avoided").over(Window.orderBy("day")))  # a row for each day
+
+
+def context_reduction(spark, sf_dir, budget: int = 600):
+    """Of each session: its tokens, those of its context, the part that the context saves, and that part of what is settled."""
+    rows = triage.triaged(_read(spark, sf_dir, "session_events")).where("session_id IS NOT NULL AND action <> 'discard'")
+    sums = rows.groupBy("session_id").agg(F.sum("tokens").alias("raw"), F.round(F.count_if(F.col("action") == "persist") / F.count("*"), 6).alias("settled"))
+    active = F.least(F.col("raw"), F.lit(budget))
+    reduction = F.when(F.col("raw") > 0, F.round(1 - active / F.col("raw"), 6)).otherwise(0.0)
+    return sums.select("session_id", "raw", active.alias("active"), reduction.alias("reduction"), F.round(reduction * F.col("settled"), 6).alias("effective"))
 
 
 def project_overview(spark, sf_dir):
@@ -194,7 +223,7 @@ QUERIES = {
     for f in (
         usage_totals, precision_stats, retrieval_stats, latency_percentiles, last_activity, sessions_with_counts, recent_sessions, session_state,
         daily_history, weekly_history, prompt_growth, never_used_steps, resumes, resume_counts, events_by_category, coverage, quiet_streak,
-        keep_last, trailing_hour, project_overview, pricing_summary,
+        keep_last, trailing_hour, avoided_tokens, context_reduction, project_overview, pricing_summary,
     )
 }
 
@@ -282,6 +311,18 @@ SQL = {
     "trailing_hour": """
         SELECT event_id, count(*) OVER w AS calls, round(sum(value) OVER w, 4) AS used FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
         WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)""",
+    "avoided_tokens": f"""
+        WITH o AS ({_RESUMES}), p AS (
+            SELECT delivery_seq, ts, type, sum({_TOK.format(_EVENT_TEXT)}) OVER (PARTITION BY session_id ORDER BY delivery_seq ROWS UNBOUNDED PRECEDING) AS past
+            FROM session_events WHERE session_id IS NOT NULL),
+        d AS (SELECT CAST(p.ts AS DATE) AS day, CAST(sum(greatest(0, past - 600)) AS BIGINT) AS avoided, count(*) AS resumes FROM p JOIN o USING (delivery_seq) WHERE p.type = 'SESSION_STARTED' GROUP BY 1)
+        SELECT day, avoided, resumes, CAST(sum(avoided) OVER (ORDER BY day) AS BIGINT) AS upto FROM d""",
+    "context_reduction": f"""
+        WITH {_TRIAGED}, s AS (
+            SELECT session_id, CAST(sum(tokens) AS BIGINT) AS raw, round(count(*) FILTER (action = 'persist') / count(*), 6) AS settled FROM triaged
+            WHERE session_id IS NOT NULL AND action <> 'discard' GROUP BY session_id),
+        r AS (SELECT *, least(raw, 600) AS active, CASE WHEN raw > 0 THEN round(1 - least(raw, 600) / raw, 6) ELSE 0.0 END AS reduction FROM s)
+        SELECT session_id, raw, active, reduction, round(reduction * settled, 6) AS effective FROM r""",
     "project_overview": """
         SELECT project, count(*) AS documents, count(DISTINCT lang) AS languages, CAST(sum(length(text)) AS BIGINT) AS chars, max(created_at) AS newest
         FROM documents GROUP BY project""",
