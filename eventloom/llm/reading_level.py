@@ -58,20 +58,24 @@ def text_pieces(text: Column) -> Column:
     return F.transform(pieces, lambda p: F.struct(F.regexp_replace(p, _NOT_PROSE, " ").alias("piece"), F.size(lower_words(p)).alias("n")))
 
 
-def _without_spans(pieces: list[dict], spans: list[dict]) -> str:
-    """The text without the words of the spans, the marks between them and those that follow the last one at once."""
-    inside = np.zeros(sum(p["n"] for p in pieces) + 1, bool)
-    for span in spans:
-        inside[span["first"] : span["end"]] = True
-    at, after, out = 0, False, []
-    for p in pieces:
-        if p["n"]:
-            after = bool(inside[at : at + p["n"]].any())
-            at += p["n"]
-        elif after and not inside[at] and _SPACE.match(p["piece"]):
-            after = False
-        out.append(" " if after else p["piece"])
-    return "".join(out)
+def _without_spans(pieces: pa.Array, sizes: np.ndarray, first: np.ndarray, end: np.ndarray) -> str:
+    """The text without the words of the spans, the marks between them and those that follow the last one at once.
+
+    ``sizes`` are the words of each piece, ``first`` and ``end`` the words where spans begin and have ended."""
+    edges = np.zeros(sizes.sum() + 2, np.int64)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, end, -1)
+    inside = np.cumsum(edges)[:-1] > 0
+    upto = np.concatenate([[0], np.cumsum(inside)])
+    at = np.cumsum(sizes) - sizes
+    word, place = sizes > 0, np.arange(len(sizes))
+    hit = word & (upto[at + sizes] > upto[at])
+    # A mark goes with the word before it, up to the first blank outside.
+    blank = ~word & ~inside[at] & pc.match_substring_regex(pieces, "^[ \t\n\x0b\f\r]").to_numpy(zero_copy_only=False)
+    before = np.maximum.accumulate(np.where(word, place, -1))
+    stopped = np.maximum.accumulate(np.where(blank, place, -1)) > before
+    gone = np.where(word, hit, (before >= 0) & hit[before] & ~stopped)
+    return "".join(pc.if_else(pa.array(gone), " ", pieces).to_pylist())
 
 
 def _set_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,10 +83,12 @@ def _set_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = pc.is_valid(batch.column("spans"))
         yield batch.filter(pc.invert(found)).select(["doc_id", "chunks"])
-        some = batch.filter(found)
-        rest = zip(some.column("pieces").to_pylist(), some.column("spans").to_pylist(), strict=True)
-        chunks = pa.array([_SPACE.split(_without_spans(*x)) for x in rest], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([some.column("doc_id"), chunks], ["doc_id", "chunks"])
+        some, rest = batch.filter(found), []
+        for k in range(len(some)):
+            pieces, sizes, spans = (some.column(c)[k].values for c in ("pieces", "sizes", "spans"))
+            first, end = spans.field("first").to_numpy(), spans.field("end").to_numpy()
+            rest.append(_SPACE.split(_without_spans(pieces, sizes.to_numpy(), first, end)))
+        yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "chunks"])
 
 
 def chunk_words(chunk: str) -> list[str]:
@@ -207,8 +213,8 @@ def reading_levels(
     bare = F.col("spans").isNull()
     coded = written(
         read.select(
-            "doc_id", F.when(bare, prose_chunks(F.col("text"))).alias("chunks"), F.when(~bare, text_pieces(F.col("text"))).alias("pieces"), "spans"
-        ).mapInArrow(_coded, "doc_id bigint, language int, formula int, codes array<int>"),
+            "doc_id", F.when(bare, prose_chunks(F.col("text"))).alias("chunks"), F.when(~bare, text_pieces(F.col("text"))).alias("p"), "spans"
+        ).select("doc_id", "chunks", F.col("p.piece").alias("pieces"), F.col("p.n").alias("sizes"), "spans").mapInArrow(_coded, "doc_id bigint, language int, formula int, codes array<int>"),
         "reading-codes",
     )
     share = [F.count_if(F.col("reading_level") == k + 1) / F.count("*") for k in range(LEVELS)]
