@@ -30,9 +30,12 @@ EXACT_KINDS = {
 STRONG_KINDS = ("uuid", "path", "memory_id")
 
 
+_TERM = r"[\p{L}\p{N}_]+"
+
+
 def terms(text: Column) -> Column:
     """The search terms of a text, in lower case, repeated as often as they stand."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
 def query_terms(text: Column) -> Column:
@@ -48,10 +51,12 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     the frequent words that no query has are dropped before any shuffle. Null ids and texts match nothing.
     """
     asked = queries.where(F.col("query_id").isNotNull()).select("query_id", F.explode(query_terms("text")).alias("term"))
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", terms(F.col("text")).alias("ts"))
-    totals = rows.agg(F.count("*").alias("total"), F.avg(F.size("ts")).alias("mean_length"))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    totals = rows.agg(F.count("*").alias("total"), F.avg(F.regexp_count(F.lower("text"), F.lit(_TERM))).alias("mean_length"))
     wanted = asked.select("term").distinct()
-    places = rows.select("doc_id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
+    # The length stands beside the terms before they are spread, so that no row carries the whole list.
+    sized = rows.select("doc_id", terms(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("length"), "ts")
+    places = sized.select("doc_id", "length", F.explode("ts").alias("term"))
     postings = places.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
     found = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(totals)  # one row of totals
     idf = F.log1p((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))

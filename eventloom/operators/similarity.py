@@ -33,7 +33,7 @@ def jaccard_pairs(rows: DataFrame, threshold: float, keys: tuple[str, ...] = ())
     id, key or empty set matches nothing.
     """
     sets = rows.where(F.col("id").isNotNull() & (F.size("tokens") > 0)).select("id", *keys, F.array_distinct("tokens").alias("tokens"))
-    tokens = sets.select("id", *keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    tokens = sets.select("id", *keys, F.size("tokens").alias("n"), "tokens").select("id", *keys, "n", F.explode("tokens").alias("token"))
     counts = tokens.groupBy(*keys, "token").agg(F.count("*").alias("seen")).where("seen > 1")
     # A token that one row alone has can be left out of the join, but counts in the length of its row's prefix.
     rare = F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "token")))
