@@ -29,11 +29,13 @@ LABEL_BOUND = 50_000
 #: Mean words in a sentence above which a text without any labels to learn from has level 2, 3 and 4.
 FORMULA = (7.0, 11.0, 18.0)
 
-#: Frequent function words that tell the language of a text; a text with none has the last one.
+#: Frequent function words that tell the language of a text; one with none of them is of another language,
+#: whose models learn from sentence lengths alone unless it has labels.
 FUNCTION_WORDS = {
     "it": "il lo la gli le i un una uno di che con per non alla del della nel ma poi se ogni".split(),
     "de": "der die das den dem ein eine einer und mit ohne nicht von zu am bei aber dann im ist".split(),
     "en": "the a an and of to in is with by at for but so then or that".split(),
+    "other": [],
 }
 _END = "."
 

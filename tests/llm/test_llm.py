@@ -411,6 +411,17 @@ def test_test_passages_do_not_count_in_the_level(spark, broadcast_rows):
     assert {i: got[i] for i in own} == bare and got[90] == 1 and 91 in got and len(rows) == len(own) + 3
 
 
+def test_another_language_has_models_of_its_own(spark):
+    """Texts without a function word of the three languages are told apart by their sentences, whatever English has."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("абвгдежзик") for _ in range(6))
+    said = lambda n, k: " ".join(" ".join(word() for _ in range(n)) + "." for _ in range(k))
+    docs = [(i, said(4, 20)) for i in range(4)] + [(10 + i, said(30, 4)) for i in range(4)] + [(20 + i, "the cat and the dog run to it. " * 8) for i in range(4)]
+    labels = spark.createDataFrame([(20 + i, 2) for i in range(4)], "doc_id bigint, reading_level int")
+    got = {r.doc_id: r.reading_level for r in reading_level.reading_levels(spark.createDataFrame(docs, "doc_id bigint, text string"), labels).collect()}
+    assert {got[i] for i in range(4)} == {1} and {got[10 + i] for i in range(4)} == {4} and {got[20 + i] for i in range(4)} == {2}
+
+
 def test_passages_are_cut_out_of_the_prose(spark):
     run = " ".join(f"{w}" for w in WORDS[:12])
     texts = [f'He said: "{run}." Then.', f"```\n{run}\n```\nx {run}; y", f"İz {run.upper()}\n12:30:01 log {run}\nend.", f"{run[:-4]} near."]
