@@ -137,3 +137,9 @@ def merged_items(held: DataFrame, given: DataFrame) -> DataFrame:
     old = held.select(F.col("id").alias("_id"), F.col("retrieved_count").alias("_count"))
     new = given.join(old, F.col("id") == F.col("_id"), "left").withColumn("retrieved_count", F.greatest("retrieved_count", "_count")).drop("_id", "_count")
     return new.unionByName(held.join(given.select("id"), "id", "left_anti"))
+
+
+def inert_events(triaged: DataFrame, items: DataFrame) -> DataFrame:
+    """Events that are kept without a need to be read and that no item names as its evidence: ``delivery_seq, id``."""
+    named = items.select(F.explode("evidence").alias("id")).where("id IS NOT NULL").distinct()
+    return triaged.where("action = 'persist' AND id IS NOT NULL").select("delivery_seq", "id").join(named, "id", "left_anti").select("delivery_seq", "id")

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.metrics import running_last, running_sum
+from eventloom.session import written
 
 #: Attempts that a success looks back, calls that may lie between repeats, and repeats that make a loop.
 LOOK_BACK, GAP, LEAST_REPEATS = 5, 15, 3
+#: Attempts that a failure looks ahead.
+AHEAD = 12
 
 # Words of a line that tells what kind of error a command had.
 ERROR_LINE = (
@@ -74,6 +77,23 @@ def recoveries(events: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
     )
 
 
+def episodes(events: DataFrame, ahead: int = AHEAD) -> DataFrame:
+    """Failed commands with the related success that resolved them: ``session_id, failed_seq, fixed_seq, attempts, failures``.
+
+    A failure looks ahead over ``ahead`` attempts to the first related success, by joins on the attempts' numbers. Of the
+    failures that one success resolves, the first opens the episode; ``attempts`` lie between its ends and ``failures`` are
+    those that it resolves.
+    """
+    tries = written(command_attempts(events), "attempts")
+    wins = tries.where("ok").select("session_id", F.col("i").alias("at"), F.struct("delivery_seq", "command").alias("w"))
+    looks = tries.where("NOT ok").select("session_id", "delivery_seq", "command", "i", F.explode(F.sequence(F.col("i") + 1, F.col("i") + ahead)).alias("at"))
+    met = looks.join(wins, ["session_id", "at"]).where(related_commands(F.col("command"), F.col("w.command")))
+    first = met.groupBy("session_id", "delivery_seq", "i").agg(F.min("at").alias("at"), F.min_by("w.delivery_seq", "at").alias("fixed_seq"))
+    return first.groupBy("session_id", "fixed_seq", "at").agg(F.min("delivery_seq").alias("failed_seq"), F.min("i").alias("i"), F.count("*").alias("failures")).select(
+        "session_id", "failed_seq", "fixed_seq", (F.col("at") - F.col("i") - 1).alias("attempts"), "failures"
+    )
+
+
 def repeated_calls(events: DataFrame, gap: int = GAP, least: int = LEAST_REPEATS) -> DataFrame:
     """Loops: the longest run of equal calls of each session and signature, of at least ``least`` calls.
 

@@ -92,10 +92,15 @@ def merged_items(spark, sf_dir):
     return P.merged_items(held, given).select("id", "status", "retrieved_count")
 
 
+def inert_events(spark, sf_dir):
+    """Kept events that nothing waits for and no item comes from."""
+    return P.inert_events(triage.triaged(_read(spark, sf_dir, "session_events")), _read(spark, sf_dir, "memory_items"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        pending_queue, recent_events, recent_tool_events, tool_events_after, session_traffic, recovery_rules, capped_rules, issues_of_events, milestones,
+        inert_events, pending_queue, recent_events, recent_tool_events, tool_events_after, session_traffic, recovery_rules, capped_rules, issues_of_events, milestones,
         active_sessions, event_previews, trigger_verdicts, merged_items,
     )
 }
@@ -177,4 +182,8 @@ SQL = {
         SELECT id, CASE WHEN len(evidence) > 0 THEN 'active' ELSE status END AS status,
                CASE WHEN len(evidence) > 0 THEN greatest(CAST(length(coalesce(text, '')) % 7 AS INT), retrieved_count) ELSE retrieved_count END AS retrieved_count
         FROM memory_items WHERE id IS NOT NULL""",
+    "inert_events": f"""
+        WITH {_TRIAGED}
+        SELECT delivery_seq, id FROM triaged WHERE action = 'persist' AND id IS NOT NULL
+          AND id NOT IN (SELECT e FROM (SELECT unnest(evidence) AS e FROM memory_items) WHERE e IS NOT NULL)""",
 }

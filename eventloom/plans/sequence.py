@@ -61,9 +61,14 @@ def recovery_notes(spark, sf_dir):
     return S.latest_notes(events, S.recoveries(events))
 
 
+def episodes(spark, sf_dir):
+    """Failures with the related success that resolved them."""
+    return S.episodes(_read(spark, sf_dir, "session_events"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (call_outcomes, command_attempts, command_recoveries, repeated_calls, error_classes, path_references, stale_references, restatements, recovery_notes)
+    for f in (episodes, call_outcomes, command_attempts, command_recoveries, repeated_calls, error_classes, path_references, stale_references, restatements, recovery_notes)
 }
 
 _ATTEMPTS = """attempts AS (
@@ -131,4 +136,13 @@ SQL = {
         WITH {_RECOVERIES}
         SELECT failed_seq, max(delivery_seq) AS note_seq FROM recoveries r JOIN session_events e ON e.session_id = r.session_id
         WHERE e.type = 'ASSISTANT_MESSAGE' AND length(e.payload.text) >= 20 AND delivery_seq > failed_seq AND delivery_seq < fixed_seq GROUP BY failed_seq""",
+    "episodes": f"""
+        WITH {_ATTEMPTS}, met AS (
+            SELECT f.session_id, f.delivery_seq, f.i, w.i AS place, w.delivery_seq AS fixed_seq FROM attempts f JOIN attempts w
+            ON w.session_id = f.session_id AND w.i BETWEEN f.i + 1 AND f.i + {S.AHEAD}
+            WHERE NOT f.ok AND w.ok AND regexp_extract(f.command, '^\\s*(\\S+)', 1) = regexp_extract(w.command, '^\\s*(\\S+)', 1)
+              AND (levenshtein(f.command, w.command) <= 0.4 * greatest(length(f.command), length(w.command))
+                   OR list_has_any(list_filter(regexp_split_to_array(f.command, '\\s+'), lambda x: length(x) >= 5), list_filter(regexp_split_to_array(w.command, '\\s+'), lambda x: length(x) >= 5)))),
+        first AS (SELECT session_id, delivery_seq, i, min(place) AS place, arg_min(fixed_seq, place) AS fixed_seq FROM met GROUP BY session_id, delivery_seq, i)
+        SELECT session_id, min(delivery_seq) AS failed_seq, fixed_seq, place - min(i) - 1 AS attempts, count(*) AS failures FROM first GROUP BY session_id, fixed_seq, place""",
 }
