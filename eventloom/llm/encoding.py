@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.session import written
@@ -151,23 +151,36 @@ def encode_corpus(documents: DataFrame, ranks: bytes, doc_id: str = "doc_id", te
     )
 
 
-def token_table(spark: SparkSession, ranks: bytes) -> DataFrame:
-    """The bytes of each token: ``(token, bytes)``."""
+def token_table(ranks: bytes) -> pa.Array:
+    """The bytes of each token, at the place of its id; null where no token has the id."""
     pairs = [line.split() for line in ranks.splitlines() if line]
-    return spark.createDataFrame(
-        pa.table({"token": pa.array([int(r) for _, r in pairs], pa.int32()), "bytes": pa.array([base64.b64decode(t) for t, _ in pairs], pa.binary())})
-    )
+    ids = np.array([int(r) for _, r in pairs])
+    table = np.full(ids.max(initial=-1) + 1, None, object)
+    table[ids] = [base64.b64decode(t) for t, _ in pairs]
+    return pa.array(table, pa.binary())
 
 
 def decode_ids(encoded: DataFrame, ranks: bytes, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """The texts of id lists: ``(doc_id, text)``, by a join of every position with the token table.
 
-    The table has the fixed size of the vocabulary and is broadcast. An empty or null list gives an empty text; an id
-    that the vocabulary lacks gives nothing in its place. ``key`` must be unique; rows with a null key come out once.
+    The table has the fixed size of the vocabulary and is sent to every task, where a batch of lists takes its bytes from
+    it at once; nothing is shuffled. An empty or null list gives an empty text; an id that the vocabulary lacks gives
+    nothing in its place, bytes that are no text a replacement character. Repeated rows and null keys come out as often.
     """
-    tokens = F.broadcast(token_table(encoded.sparkSession, ranks))
-    places = encoded.select(F.col(key).alias("doc_id"), F.posexplode_outer(ids).alias("place", "token"))
-    joined = places.join(tokens, "token", "left").groupBy("doc_id")
-    run = F.array_sort(F.collect_list(F.when(F.col("bytes").isNotNull(), F.struct("place", "bytes"))))
-    whole = F.aggregate("run", F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))
-    return joined.agg(run.alias("run")).select("doc_id", F.decode(whole, "utf-8").alias("text"))
+    sent = encoded.sparkSession.sparkContext.broadcast(token_table(ranks))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            lists = batch.column("ids")
+            flat = lists.flatten()
+            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+            pieces = pc.fill_null(table.take(pc.if_else(known, flat, None)), b"")
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pieces), b"")
+            texts = [x.decode("utf-8", "replace") for x in joined.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    empty = F.array().cast("array<int>")
+    listed = encoded.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.filter(ids, lambda x: x.isNotNull()), empty).alias("ids"))
+    return listed.mapInArrow(decode, "doc_id bigint, text string")

@@ -43,6 +43,11 @@ def p6_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> Da
     return encoding.encode_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks)
 
 
+def p6_text(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The text of every document, encoded and decoded again."""
+    return encoding.decode_ids(p6_ids(spark, sf_dir, tokenizers), encoding.rank_file(f"{tokenizers}/byte_bpe_50k.tiktoken"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold 12 words in a row of a held-out test item."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -63,7 +68,8 @@ QUERIES = {
     "p3_groups": p3_groups,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p6_text": p6_text,
     "p7_found": p7_found,
     "p8_found": p8_found,
 }
-SQL: dict[str, str] = {}
+SQL = {"p6_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

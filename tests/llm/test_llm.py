@@ -437,6 +437,14 @@ def test_passages_are_cut_out_of_the_prose(spark):
     assert got == {0: ["He", "said:", '"', "Then."], 1: ["x", "y"], 2: ["İz", "end."]}
 
 
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no tokenizer files")
+def test_decoded_corpus_equals_sql(spark, data, duck):
+    from eventloom.llm import queries
+    from tests.compare import check
+
+    check(queries.p6_text(spark, data), duck.sql(queries.SQL["p6_text"]))
+
+
 def test_queries_run(spark, data):
     from eventloom.llm import queries
 
