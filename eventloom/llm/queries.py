@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import conversations, encoding, leakage, near_duplicates, personal_info, reading_level
+from eventloom.plans import dealt
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("EVENTLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -72,4 +73,32 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_found": p8_found,
 }
-SQL = {"p6_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+#: The words of a text, each in lower case.
+_WORDS = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
+_RUNS = "list_distinct(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' ')))"
+SQL = {
+    "p5_found": f"""
+        WITH repeats AS ({dealt.SQL["p2_found"]}),
+        messages AS (
+            SELECT delivery_seq, session_id, ordinal, ts, CASE type WHEN 'USER_MESSAGE' THEN 'user' ELSE 'assistant' END AS role FROM session_events
+            WHERE type IN ('USER_MESSAGE', 'ASSISTANT_MESSAGE') AND regexp_matches(payload.text, '[\\p{{L}}\\p{{N}}]') AND session_id IS NOT NULL
+              AND delivery_seq NOT IN (SELECT delivery_seq FROM repeats)),
+        sizes AS (SELECT session_id, count(*) AS n, count(ordinal) AS ordinals, count(ts) AS times FROM messages GROUP BY session_id),
+        placed AS (
+            SELECT session_id, delivery_seq, role, CASE WHEN ordinals = n THEN ordinal ELSE epoch_us(ts) END AS place
+            FROM messages JOIN sizes USING (session_id) WHERE ordinals = n OR times = n),
+        turns AS (
+            SELECT *, row_number() OVER w AS turn, lag(place) OVER w AS place_before, lag(role) OVER w AS role_before, lead(role) OVER w AS role_after
+            FROM placed WINDOW w AS (PARTITION BY session_id ORDER BY place, delivery_seq)),
+        unsound AS (
+            SELECT DISTINCT session_id FROM turns WHERE place = place_before OR (role = 'user' AND role_before = 'user') OR (role_before IS NULL AND role <> 'user')
+                OR (role_after IS NULL AND role <> 'assistant'))
+        SELECT session_id, CAST(turn AS INT) AS turn, role, delivery_seq FROM turns WHERE session_id NOT IN (SELECT session_id FROM unsound)""",
+    "p6_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        i AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        of_documents AS (SELECT doc_id, unnest({_RUNS}) AS run FROM d WHERE len(ws) >= 12),
+        of_items AS (SELECT item_id, unnest({_RUNS}) AS run FROM i WHERE len(ws) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM of_documents JOIN of_items USING (run)""",
+}

@@ -438,11 +438,12 @@ def test_passages_are_cut_out_of_the_prose(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(RANKS), reason="no tokenizer files")
-def test_decoded_corpus_equals_sql(spark, data, duck):
+@pytest.mark.parametrize("name", ["p5_found", "p6_text", "p7_found"])
+def test_query_equals_sql(spark, data, duck, name):
     from eventloom.llm import queries
     from tests.compare import check
 
-    check(queries.p6_text(spark, data), duck.sql(queries.SQL["p6_text"]))
+    check(queries.QUERIES[name](spark, data), duck.sql(queries.SQL[name]))
 
 
 def test_queries_run(spark, data):
