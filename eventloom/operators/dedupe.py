@@ -18,6 +18,8 @@ QUOTIENT_BITS = 16
 #: Characters in the half of the identifier that is mixed, and bits of each.
 _HEAD, _WIDE = 3, 21
 _REST_BITS = _HEAD * _WIDE - QUOTIENT_BITS
+#: Rows that a task gathers before it fills the shards that are whole.
+ROWS_AT_ONCE = 500_000
 
 
 def quotient_key(identifier: Column) -> Column:
@@ -89,11 +91,25 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fill the shards of a task with the identifiers sent to them; gives the links of repeated ones to the first."""
-    batches = list(batches)
-    if not batches:
-        return
-    rows = pa.Table.from_batches(batches)
+    """Fill the shards of a task, which come in the order of their quotients, with the identifiers sent to them; gives the
+    links of repeated ones to the first. Only shards that are not whole yet are held."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= ROWS_AT_ONCE:
+            rows = pa.Table.from_batches(held)
+            quotient = rows.column("quotient").to_numpy()
+            whole = int(np.searchsorted(quotient, quotient[-1]))
+            yield from _found(rows.slice(0, whole))
+            rest = rows.slice(whole)
+            held, n = rest.combine_chunks().to_batches(), len(rest) if whole else 0
+    if held:
+        yield from _found(pa.Table.from_batches(held))
+
+
+def _found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The links of the identifiers of whole shards, and those that were made before."""
     sent = rows.filter(rows.column("first_seq").is_valid()).select(["delivery_seq", "first_seq"])
     rows = rows.filter(rows.column("tail").is_valid())
     _, again, first = _inserted(rows)
@@ -108,10 +124,12 @@ def repeat_links(events: DataFrame) -> DataFrame:
 
     Every identifier goes to the shard that its quotient names and is inserted there once, by its complete remainder.
     The repeats within one batch of a map task are linked before the shuffle, so an identifier that a third of all rows
-    have is sent once a batch. A task holds the shards of its quotients, which the permutation fills alike.
+    have is sent once a batch. A task takes the shards of its quotients one after the other from a sort that can spill, and
+    the permutation fills them alike, so its memory is that of a few shards whatever the size of its partition.
     """
     local = event_keys(events).mapInArrow(_collapsed, _ENTRIES)
-    return local.repartition(F.col("quotient")).mapInArrow(_shards, "delivery_seq bigint, first_seq bigint")
+    placed = local.repartition(F.col("quotient")).sortWithinPartitions("quotient")
+    return placed.mapInArrow(_shards, "delivery_seq bigint, first_seq bigint")
 
 
 def repeated_deliveries(events: DataFrame) -> DataFrame:

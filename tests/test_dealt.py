@@ -67,6 +67,33 @@ def test_repeated_deliveries_of_random_rows(spark):
     assert got == _wanted(rows)
 
 
+def test_shards_are_filled_one_after_the_other():
+    """Few rows at once, many or all give the same links, also with shards longer than that."""
+    import numpy as np
+    import pyarrow as pa
+
+    from eventloom.operators import dedupe
+
+    rng = np.random.default_rng(2)
+    quotient = np.sort(rng.integers(0, 9, 400)).astype(np.int32)
+    table = pa.table({
+        "delivery_seq": pa.array(rng.permutation(400)), "quotient": quotient, "rest": pa.array(rng.integers(0, 12, 400)), "tail": ["3:"] * 400,
+        "first_seq": pa.nulls(400, pa.int64()),
+    })
+    before, found = dedupe.ROWS_AT_ONCE, []
+    try:
+        for dedupe.ROWS_AT_ONCE in (1, 30, 90, 1000):
+            links = pa.Table.from_batches(list(dedupe._shards(iter(table.to_batches(max_chunksize=17)))))
+            found.append(sorted(zip(*[c.to_pylist() for c in links.columns], strict=True)))
+    finally:
+        dedupe.ROWS_AT_ONCE = before
+    assert found[0] == found[1] == found[2] == found[3]
+    firsts = {}
+    for seq, q, r in sorted(zip(table["delivery_seq"].to_pylist(), quotient.tolist(), table["rest"].to_pylist(), strict=True)):
+        firsts.setdefault((q, r), []).append(seq)
+    assert found[0] == sorted((s, v[0]) for v in firsts.values() for s in v[1:])
+
+
 def test_one_hot_event(spark):
     rows = spark.range(20_000).select(
         F.col("id").alias("delivery_seq"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("e"), "id")).alias("id"),
