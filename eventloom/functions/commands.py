@@ -134,20 +134,16 @@ def is_scratch(command: Column) -> Column:
     return command.rlike(SCRATCH) | F.regexp_replace(command, REDIRECTED, " ").rlike(SCRATCH_FILE)
 
 
-def mistyped_path(failed: Column, path: Column) -> Column:
-    """Whether a path is likely the one that another, which failed, was meant to be.
-
-    The same name in another folder, unless many files bear it; in one folder the same stem with another ending, or the
-    same ending and a stem of few edits.
-    """
-    folder = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
-    base = lambda p: F.regexp_extract(p, r"([^/]*)$", 1)
-    stem = lambda p: F.regexp_replace(base(p), r"(.)\.[^.]*$", "$1")
-    ending = lambda p: F.regexp_extract(base(p), r".\.([^.]*)$", 1)
-    a, b = stem(failed), stem(path)
-    common = F.lower(a).isin(*COMMON_NAMES)
+def path_parts(path: Column) -> Column:
+    """Folder, base, stem and ending of a path; a dot that begins the base begins no ending."""
+    base = F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.struct(
+        F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), base.alias("base"),
+        F.regexp_replace(base, r"(.)\.[^.]*$", "$1").alias("stem"), F.regexp_extract(base, r".\.([^.]*)$", 1).alias("ending"),
+    )
+
+
+def near_stems(a: Column, b: Column) -> Column:
+    """Whether two different stems of three characters or more are few edits apart: a quarter of the longer, at least one."""
     longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    near = (ending(failed) == ending(path)) & (shortest >= 3) & (F.levenshtein(a, b) <= F.greatest(F.lit(1), F.floor(longest / 4)))
-    moved = (base(failed) == base(path)) & (folder(failed) != folder(path)) & ~common
-    beside = (folder(failed) == folder(path)) & (base(failed) != base(path)) & F.when(a == b, ending(failed) != ending(path)).otherwise(near)
-    return (base(failed) != "") & (base(path) != "") & (moved | beside)
+    return (a != b) & (shortest >= 3) & (F.levenshtein(a, b) <= F.greatest(F.lit(1), F.floor(longest / 4)))

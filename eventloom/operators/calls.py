@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from eventloom.session import written
 
 #: Calls that may lie between repeats, and repeats that make a loop.
 GAP, LEAST_REPEATS = 15, 3
+#: Paths in one block of a comparison of names, and those of a block that are compared at once.
+BLOCK, TILE = 2048, 64
 # The arguments that identify a call of some tools; all arguments identify a call of any other.
 IDENTITY = {
     "Read": ("file_path", "offset", "limit"), "Grep": ("pattern", "path", "glob", "type", "output_mode"), "Glob": ("pattern", "path"),
@@ -145,15 +152,81 @@ def issues(events: DataFrame) -> DataFrame:
 def mistyped_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
     """Paths that are no file, with the files that they were likely meant to be: ``(path, meant)``.
 
-    ``paths`` and ``files`` have ``path``. A path only meets the files of its own name, and those of its folder with its
-    ending or stem, which are few unless one folder holds a large part of all files.
+    ``paths`` and ``files`` have ``path``. A file is meant if it has the same name in another folder, unless many files
+    bear that name, or in the same folder the same stem with another ending, or the same ending and a near stem. The
+    first two are joins that give no other pairs; the near stems of a folder and ending are compared in blocks.
+    """
+    parts = C.path_parts(F.col("path"))
+    files = written(files.where("path IS NOT NULL").select("path").distinct().select("path", parts.alias("p")).select("path", "p.*").where("base <> ''"), "real-paths")
+    gone = paths.where("path IS NOT NULL").select("path").distinct().join(files.select("path"), "path", "left_anti")
+    gone = written(gone.select("path", parts.alias("p")).select("path", "p.*").where("base <> ''"), "gone-paths")
+    meant = files.withColumnsRenamed({"path": "meant", "folder": "f", "ending": "e"})
+    moved = gone.where(~F.lower("stem").isin(*C.COMMON_NAMES)).join(meant.select("meant", "base", "f"), "base").where("folder <> f")
+    ended = gone.join(meant.select("meant", F.col("f").alias("folder"), "stem", "e"), ["folder", "stem"]).where("ending <> e")
+    near = _alike(gone, files).where(C.near_stems(F.col("a"), F.col("b")))
+    return moved.select("path", "meant").unionByName(ended.select("path", "meant")).unionByName(near.select("path", "meant"))
+
+
+def _alike(gone: DataFrame, files: DataFrame) -> DataFrame:
+    """All pairs of one folder and ending whose stems can be near: ``(path, meant, a, b)``, with their stems.
+
+    Each side of a folder and ending is gathered into blocks of about ``BLOCK``, and every pair of blocks is compared in
+    a task by marks of 64 bits. One edit changes one letter and two pairs of neighbouring letters on either side, so
+    stems that differ in more of them than their edits allow are left out; no near pair is.
     """
-    files = files.where("path IS NOT NULL").select(F.col("path").alias("meant")).distinct()
-    gone = paths.where("path IS NOT NULL").select("path").distinct().join(files.select(F.col("meant").alias("path")), "path", "left_anti")
-    folder = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
-    ending, stem = lambda p: F.regexp_extract(p, r"([^/.]*)$", 1), lambda p: F.regexp_extract(p, r"([^/]*?)(?:\.[^./]*)?$", 1)
-    keys = lambda p: F.explode(F.array(
-        F.concat(F.lit("b:"), F.regexp_extract(p, r"([^/]*)$", 1)), F.concat(F.lit("e:"), folder(p), F.lit("//"), ending(p)), F.concat(F.lit("s:"), folder(p), F.lit("//"), stem(p)),
-    ))
-    pairs = gone.select("path", keys(F.col("path")).alias("k")).join(files.select("meant", keys(F.col("meant")).alias("k")), "k")
-    return pairs.where(C.mistyped_path(F.col("path"), F.col("meant"))).select("path", "meant").distinct()
+    keys = ["folder", "ending"]
+
+    def blocks(df: DataFrame, side: str) -> DataFrame:
+        df = df.where(F.length("stem") >= 3).select(*keys, F.struct("path", "stem").alias("x"))
+        sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+        return df.join(sizes, keys).groupBy(*keys, F.pmod(F.xxhash64("x"), "n").alias("block")).agg(F.collect_list("x").alias(side)).drop("block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, s = batch.column("q").flatten(), batch.column("s").flatten()
+            (q_len, q_letters, q_pairs), (s_len, s_letters, s_pairs) = _marks(q.field("stem")), _marks(s.field("stem"))
+            q_end, s_end = (np.cumsum(pc.list_value_length(batch.column(c)).to_numpy()) for c in ("q", "s"))
+            for row in range(len(batch)):
+                at = slice(s_end[row - 1] if row else 0, s_end[row])
+                for low in range(q_end[row - 1] if row else 0, q_end[row], TILE):
+                    high = min(low + TILE, q_end[row])
+                    edits = np.maximum(np.maximum(q_len[low:high, None], s_len[at]) >> 2, 1)
+                    x, y = q_letters[low:high, None], s_letters[at]
+                    i, j = np.nonzero((np.bitwise_count(x & ~y) <= edits) & (np.bitwise_count(~x & y) <= edits))
+                    most = 2 * edits[i, j]
+                    i, j = i + low, j + at.start
+                    x, y = q_pairs[i], s_pairs[j]
+                    keep = (np.bitwise_count(x & ~y) <= most) & (np.bitwise_count(~x & y) <= most)
+                    if keep.any():
+                        a, b = q.take(pa.array(i[keep])), s.take(pa.array(j[keep]))
+                        yield pa.RecordBatch.from_arrays([a.field("path"), b.field("path"), a.field("stem"), b.field("stem")], ["path", "meant", "a", "b"])
+
+    return blocks(gone, "q").join(blocks(files, "s"), keys).select("q", "s").mapInArrow(compare, "path string, meant string, a string, b string")
+
+
+def _marks(stems: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text its length, a mark of its letters, second ones apart from first, and one of its pairs of letters, its
+    ends counted as letters. A character counts as the first byte of its encoding."""
+    n = len(stems)
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), stems.cast(pa.binary())), b"")[0]
+    data, of = np.frombuffer(whole.as_buffer(), np.uint8), np.repeat(np.arange(n), pc.binary_length(stems).to_numpy())
+    first = (data & 0xC0) != 0x80
+    data, of = data[first].astype(np.int64), of[first]
+    length = np.bincount(of, minlength=n)
+
+    def mark(owner: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        order, out = np.argsort(owner, kind="stable"), np.zeros(n, np.uint64)
+        owner = owner[order]
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+        if len(starts):
+            out[owner[starts]] = np.bitwise_or.reduceat(np.uint64(1) << bit[order].astype(np.uint64), starts)
+        return out
+
+    once, times = np.unique(of * 256 + data, return_counts=True)
+    twice = once[times > 1]
+    letters = mark(np.r_[once >> 8, twice >> 8], np.r_[once & 31, 32 + (twice & 31)])
+    edge = np.r_[True, of[1:] != of[:-1]][: len(of)]
+    before, last = np.where(edge, 0, np.r_[0, data[:-1]][: len(data)]), np.r_[edge[1:], True][: len(data)]
+    bit = lambda a, b: ((a * 0x9E3779B1 + b * 0x85EBCA6B) & 0xFFFFFFFF) >> 26
+    pairs = mark(np.r_[of, of[last]], np.r_[bit(before, data), bit(data[last], 0)])
+    return length, letters, pairs
