@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as T
+from eventloom.session import written
 
 K1, B = 1.2, 0.75
-#: Vectors in one block of a similarity search, and places of a vector of hashed terms.
-BLOCK, WIDTH = 2048, 32
+#: Vectors in one block of a similarity search, queries in one block of a keyword search, those of either that are scored
+#: at once, and places of a vector of hashed terms.
+BLOCK, QUERIES, TILE, WIDTH = 2048, 4096, 128, 32
 
 # Weights of importance in the metadata score, kinds of exact tokens, and the weights they ask for.
 IMPORTANCE_WEIGHT = {"critical": 2.2, "high": 1.6, "medium": 1.0, "low": 0.6, "ephemeral": 0.3}
@@ -65,6 +67,92 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return asked.join(scored, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
+def best_by_bm25(queries: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best documents of each query by the scores of ``bm25``: ``(query_id, doc_id, score, rank)``.
+
+    For many queries: their terms meet most documents, so the scores, not the texts, are what is large. Documents are
+    indexed by Arrow batches, each batch with all of its terms; each block of queries is scored against each index in a
+    task, and only the best go on. A query counts each of its terms once; rows of one document are one document, those
+    of one length are one text.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", terms(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("length"), "ts")
+    parts = rows.select("doc_id", F.array(F.struct("length", "ts")).alias("parts"))
+    again = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not again.isEmpty():
+        texts = rows.join(again, "doc_id", "left_semi").groupBy("doc_id", "length").agg(F.flatten(F.collect_list("ts")).alias("ts"))
+        merged = texts.groupBy("doc_id").agg(F.collect_list(F.struct("length", "ts")).alias("parts"))
+        parts = parts.join(again, "doc_id", "left_anti").unionByName(merged)
+    kind, asks = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (queries, "query_id")))
+    index = written(parts.mapInArrow(_indexed, f"ids array<{kind}>, owners array<int>, lengths array<int>, terms array<string>, counts array<int>, places array<int>, tfs array<int>, said bigint"), "term-index")
+    total = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).count()
+    mean = (index.agg(F.sum("said")).first()[0] or 0) / max(1, total)
+    found = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("df"))
+    asked = queries.where(F.col("query_id").isNotNull()).select("query_id", F.explode(query_terms(F.col("text"))).alias("term")).distinct()
+    idf = F.log1p((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = written(asked.join(found, "term").groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(idf).alias("idfs")), "asked-terms")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(-(-asked.count() // QUERIES) or 1))
+    blocks = asked.groupBy(block.alias("block")).agg(F.collect_list("query_id").alias("q_ids"), F.collect_list("terms").alias("q_terms"), F.collect_list("idfs").alias("q_idfs"))
+
+    names = ["ids", "owners", "lengths", "terms", "counts", "places", "tfs", "q_ids", "q_terms", "q_idfs"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict[int, np.ndarray] = {}  # of each query the least score that is among the best of one index
+        for batch in batches:
+            for row in range(len(batch)):
+                ids, owners, lengths, words, counts, places, tfs, q_ids, q_terms, q_idfs = (batch.column(c)[row].values for c in names)
+                owners, places, tfs = owners.to_numpy(), places.to_numpy(), tfs.to_numpy()
+                size = K1 * (1 - B + B * lengths.to_numpy() / mean)
+                weights, at, rank = tfs * (K1 + 1) / (tfs + size[places]), owners[places], pc.rank(ids).to_numpy().astype(np.int64)
+                ends, idfs = np.r_[0, np.cumsum(counts.to_numpy())], q_idfs.flatten().to_numpy()
+                own, where = np.r_[0, np.cumsum(pc.list_value_length(q_terms).to_numpy())], pc.fill_null(pc.index_in(q_terms.flatten(), value_set=words), -1).to_numpy()
+                floor = floors.setdefault(batch.column("block")[row].as_py(), np.zeros(len(q_ids)))
+                for low in range(0, len(q_ids), TILE):
+                    high = min(low + TILE, len(q_ids))
+                    sums = np.zeros((high - low, len(ids)))
+                    for q in range(low, high):
+                        met = [(slice(ends[t], ends[t + 1]), i) for t, i in zip(where[own[q] : own[q + 1]], idfs[own[q] : own[q + 1]], strict=True) if t >= 0]
+                        if met:
+                            sums[q - low] = np.bincount(np.concatenate([at[x] for x, _ in met]), np.concatenate([weights[x] * i for x, i in met]), len(ids))
+                    i, j = _best(sums, rank, n, floor[low:high], sums > 0)
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i + low)), ids.take(pa.array(j)), pa.array(sums[i, j])], ["query_id", "doc_id", "score"])
+
+    scored = index.crossJoin(blocks).mapInArrow(score, f"query_id {asks}, doc_id {kind}, score double")  # blocks with blocks
+    return top(scored.withColumn("score", F.round("score", 6)), n)
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An index of each batch: its ids, the document and the length of each text, its terms, how many texts have each,
+    these texts with how often they have it, and the sum of that."""
+    for batch in batches:
+        parts = batch.column("parts")
+        owners, texts = np.repeat(np.arange(len(batch)), pc.list_value_length(parts).to_numpy()), parts.flatten()
+        lists = texts.field("ts")
+        words = lists.flatten().dictionary_encode()
+        of = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        met, tfs = np.unique(words.indices.to_numpy().astype(np.int64) * len(lists) + of, return_counts=True)
+        term, place = np.divmod(met, max(1, len(lists)))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        ints = lambda x: one(pa.array(x.astype(np.int32)))
+        columns = [one(batch.column("doc_id")), ints(owners), one(texts.field("length")), one(words.dictionary), ints(np.bincount(term, minlength=len(words.dictionary))), ints(place), ints(tfs), pa.array([int(tfs.sum())])]
+        yield pa.RecordBatch.from_arrays(columns, ["ids", "owners", "lengths", "terms", "counts", "places", "tfs", "said"])
+
+
+def _best(scores: np.ndarray, rank: np.ndarray, k: int, floor: np.ndarray | None = None, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` best of each row by the score to six places, then by the column's rank. Nothing below
+    ``floor`` counts, which rises to the least that was taken; ``among`` marks what can count at all."""
+    r = np.floor(scores * 1e6 + 0.5)
+    m = min(k, r.shape[1])
+    least = np.partition(r, r.shape[1] - m, axis=1)[:, r.shape[1] - m]
+    if floor is not None:
+        np.maximum(floor, least, out=floor)
+        least = floor
+    i, j = np.nonzero((r >= least[:, None]) if among is None else (r >= least[:, None]) & among)
+    order = np.lexsort((rank[j], -r[i, j], i))
+    i, j = i[order], j[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < m
+    return i[first], j[first]
+
+
 def top(scores: DataFrame, n: int, key: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
     """The ``n`` best items of each query with their rank from 1; ties go to the lesser id."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), item))
@@ -130,18 +218,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
             for row in range(len(batch)):
                 q_ids, q_rows, ids, rows = (batch.column(c)[row].values for c in ("q_ids", "q_vectors", "d_ids", "d_vectors"))
                 width = len(q_rows[0])
-                sims = unit(q_rows, width) @ unit(rows, width).T
-                m = min(k, len(ids))
-                rank = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-                order = np.lexsort((np.broadcast_to(rank, sims.shape), -np.round(sims, 9)), axis=1)[:, :m]
-                best = np.take_along_axis(sims, order, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), m))), ids.take(pa.array(order.ravel())), pa.array(best.ravel()),
-                     pa.array(np.repeat(sims.sum(1) / m, m)), pa.array(np.repeat((sims**2).sum(1) / m, m)), pa.array(np.repeat(len(ids) / m, len(q_ids) * m))],
-                    names,
-                )
-
-    pairs = blocks(ready(queries), "q").crossJoin(blocks(ready(vectors), "d"))
+                queries, rows, m = unit(q_rows, width), unit(rows, width).T, min(k, len(ids))
+                rank = pc.rank(ids).to_numpy().astype(np.int64)
+                for low in range(0, len(q_ids), TILE):
+                    sims = queries[low : low + TILE] @ rows
+                    i, j = _best(sims, rank, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [q_ids.take(pa.array(i + low)), ids.take(pa.array(j)), pa.array(sims[i, j]), pa.array(sims.sum(1)[i] / m), pa.array((sims**2).sum(1)[i] / m), pa.array(np.full(len(i), len(ids) / m))],
+                        names,
+                    )
+
+    pairs = blocks(ready(vectors), "d").crossJoin(blocks(ready(queries), "q"))  # a task holds the blocks of the latter, the fewer
     found = pairs.mapInArrow(compare, f"query_id {kind}, doc_id {kind}, score double, total double, squares double, n double")
     whole = Window.partitionBy("query_id")
     mean = F.sum("total").over(whole) / F.sum("n").over(whole)
@@ -167,10 +254,29 @@ def neighbours(edges: DataFrame, seeds: DataFrame, allowed: DataFrame) -> DataFr
 def text_vectors(rows: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
     """Vectors of texts without a model: ``key, embedding``. Each term falls on one of ``width`` places by its FNV hash and
     counts up or down there by another bit of it; a text without terms has a vector of zeros, a null text none."""
-    hashes = F.transform(F.array_distinct(terms(F.col(text))), lambda t: T.fnv1a(t))
-    signed = F.transform(hashes, lambda h: F.struct((h % width).alias("at"), F.when(F.shiftright(h, 16) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.aggregate(F.filter("signed", lambda x: x["at"] == d), F.lit(0.0), lambda a, x: a + x["s"]))
-    return rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, signed.alias("signed")).select(key, spread.alias("embedding"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column("ts"), len(batch)
+            words = lists.flatten().dictionary_encode()
+            hashes = np.array([_fnv1a(w) for w in words.dictionary.to_pylist()], np.int64)
+            of = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+            each = np.unique(of * max(1, len(hashes)) + words.indices.to_numpy())
+            of, term = np.divmod(each, max(1, len(hashes)))
+            sums = np.bincount(of * width + hashes[term] % width, np.where((hashes[term] >> 16) % 2 == 0, 1.0, -1.0), n * width).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(sums))], [key, "embedding"])
+
+    ready = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("ts"))
+    return ready.mapInArrow(spread, f"{key} {kind}, embedding array<double>")
+
+
+def _fnv1a(term: str) -> int:
+    """``text.fnv1a`` of one term."""
+    h = 2166136261
+    for c in term:
+        h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+    return h
 
 
 def fused_by_query(keyword: DataFrame, vector: DataFrame, weights: DataFrame, k: int = 60) -> DataFrame:

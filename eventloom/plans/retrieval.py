@@ -117,10 +117,10 @@ def _live(spark, sf_dir):
 
 def _three_lists(queries: DataFrame, docs: DataFrame, n: int) -> dict[str, DataFrame]:
     """The best ``n`` of each query by keywords, by vectors of hashed terms, and by both."""
-    keyword = written(R.top(R.bm25(queries, docs), n), "keyword-list")
-    vectors = R.text_vectors(docs, "doc_id", "text")
+    keyword = written(R.best_by_bm25(queries, docs, n), "keyword-list")
+    vectors = written(R.text_vectors(docs, "doc_id", "text"), "text-vectors")  # counted before they are compared
     asked = R.text_vectors(queries.withColumn("doc_id", F.col("query_id")), "doc_id", "text")
-    vector = written(R.nearest(vectors, asked, n, "doc_id").where("score > 0"), "vector-list")
+    vector = written(R.nearest(vectors, asked, n, "doc_id", block=4 * R.BLOCK).where("score > 0"), "vector-list")
     weights = queries.select("query_id", R.keyword_weight(F.coalesce("text", F.lit("")), 0.5).alias("weight"))
     return {"keyword": keyword, "vector": vector, "both": R.top(R.fused_by_query(keyword, vector, weights), n)}
 
